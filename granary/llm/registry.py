@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from granary.llm import simhash
+from granary.llm import packing, pii, secrets, simhash, tokenfile
 
-MODULES = [simhash]
+MODULES = [secrets, packing, pii, simhash, tokenfile]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
