@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from granary.llm import packing, pii, repeats, secrets, simhash, tokenfile
+from granary.llm import backoff, packing, pii, repeats, secrets, simhash, tokenfile
 
-MODULES = [secrets, repeats, packing, pii, simhash, tokenfile]
+MODULES = [secrets, backoff, repeats, packing, pii, simhash, tokenfile]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
