@@ -8,12 +8,13 @@ value's length.  Costs are decimal logarithms of the guesses that a segment take
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from math import log10
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import table
+from granary.llm.common import pieces, table
 from granary.llm.spans import count_of, joined, scan_documents
 
 BASE = ["assign", "access", "hex"]
@@ -132,6 +133,41 @@ def secrets(docs: DataFrame) -> DataFrame:
     return scan_documents(docs, scan)
 
 
+def redact(text: str, mark: str = "[secret]") -> str:
+    """The text with each of its secrets, overlapping ones together, replaced by a mark."""
+    out, at, end = [], 0, -1
+    for _, a, b, _ in scan(text):
+        if a >= end:
+            if end >= 0:
+                out.append(mark)
+                at = end
+            out.append(text[at:a])
+            end = b
+        else:
+            end = max(end, b)
+    return "".join([*out, mark, text[end:]]) if end >= 0 else text
+
+
+def _redacted(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    for batch in batches:
+        for part in pieces(batch, "text"):
+            texts = part.column("text").to_pylist()
+            clean = [t and redact(t) for t in texts]
+            part = part.set_column(part.schema.get_field_index("text"), part.schema.field("text"), pa.array(clean, part.schema.field("text").type))
+            if "n_chars" in part.schema.names:
+                field = part.schema.field("n_chars")
+                counts = [n if a == b else len(b) for n, a, b in zip(part.column("n_chars").to_pylist(), texts, clean)]
+                part = part.set_column(part.schema.get_field_index("n_chars"), field, pa.array(counts, field.type))
+            yield part
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns: secrets in text replaced, n_chars (if there) counted anew where they were."""
+    return docs.mapInArrow(_redacted, docs.schema)
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets(table(spark, sf_dir, "documents"))
     return found.select(
