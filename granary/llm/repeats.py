@@ -252,7 +252,7 @@ def _bucket(docs: DataFrame) -> Column:
         bounds = sorted({least, *cuts, most + 1})
         steps = max(1, -(-many // QUANTILES))
         i = F.size(F.filter(F.lit(bounds), lambda x: x <= F.col("doc_id"))) - 1
-        low, high = F.element_at(F.lit(bounds), i + 1), F.element_at(F.lit(bounds), i + 2)
+        low, high = F.get(F.lit(bounds), i), F.get(F.lit(bounds), i + 1)  # null for a null doc_id
         inner = F.floor((F.col("doc_id") - low).cast("double") * steps / (high - low).cast("double"))
         ranged = (i.cast("long") * steps) + F.least(inner, F.lit(steps - 1)).cast("long")
     # Documents without an id come after all others, and don't precede each other.
