@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import BATCH_BYTES, keep, pieces, table
+from granary.llm.common import BATCH_BYTES, partitions, pieces, table
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 #: N-grams, as batches send them, that a part of the count tables should hold.
@@ -34,17 +34,25 @@ def _gather(batches: Iterator) -> Iterator:
     from pyspark import TaskContext
 
     base, seq = TaskContext.get().partitionId() << 32, 0
-    squeeze = zstandard.ZstdCompressor(level=1)
+    squeeze = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         for part in pieces(batch, "text", BATCH_BYTES):
             texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
             lens = np.fromiter(map(len, texts), dtype="<i8", count=len(texts))
-            n = sum(len(t.split()) for t in texts)
             data = squeeze.compress(lens.tobytes() + b"".join(texts))
-            yield pa.RecordBatch.from_arrays([pa.array([base + seq]), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([n], pa.int64()), pa.array([data], pa.binary())], ["batch", "doc_ids", "n_words", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([base + seq]), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([data], pa.binary())], ["batch", "doc_ids", "data"])
             seq += 1
 
 
+def _words(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    n = 0
+    for batch in batches:
+        n += sum(len(t.split()) for t in batch.column("text").cast(pa.binary()).to_pylist() if t)
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+
 def _texts(data: bytes, n: int) -> list[bytes]:
     import numpy as np
     import zstandard
@@ -111,7 +119,9 @@ def _sum(part):
         keys.append(np.cumsum(np.ascontiguousarray(raw[: 8 * k].reshape(8, k).T).view("<u8").ravel(), dtype=np.uint64))
         counts.append(np.ascontiguousarray(raw[8 * k :].reshape(4, k).T).view("<u4").ravel())
     _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = np.bincount(inverse, weights=np.concatenate(counts)).astype("<u8")[inverse]
+    counts = np.concatenate(counts)
+    # What other batches add: nothing for most, which takes little room.
+    totals = np.bincount(inverse, weights=counts).astype("<u8")[inverse] - counts
     squeeze = zstandard.ZstdCompressor(level=1)
     ends = np.cumsum(n).tolist()
     packed = [squeeze.compress(np.ascontiguousarray(totals[e - k : e].view(np.uint8).reshape(-1, 8).T).tobytes()) for e, k in zip(ends, n)]
@@ -127,11 +137,11 @@ def _score(docs, totals, order: int, bits: int, alpha: float, min_count: int, al
         return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "log10_score": pa.array([], pa.float64())})
     doc_ids = docs.column("doc_ids")[0].as_py()
     keys, places, firsts = _grams(_texts(docs.column("data")[0].as_py(), len(doc_ids)), order, bits)
-    _, inverse = np.unique(keys, return_inverse=True)
-    table = np.zeros(int(inverse.max()) + 1 if len(inverse) else 0, dtype=np.uint64)
+    _, inverse, own = np.unique(keys, return_inverse=True, return_counts=True)
+    table = own.astype(np.uint64)
     for f, n, t in zip(*(totals.column(c).to_pylist() for c in ("first", "n", "totals"))):
         raw = np.frombuffer(zstandard.decompress(t), dtype=np.uint8)
-        table[f : f + n] = np.ascontiguousarray(raw.reshape(8, n).T).view("<u8").ravel()
+        table[f : f + n] += np.ascontiguousarray(raw.reshape(8, n).T).view("<u8").ravel()
     found = np.split(table[inverse].astype(np.float64), np.cumsum([len(p) for p in places])[:-1])
     words = int(firsts[-1])
     log = np.zeros(words)
@@ -147,8 +157,8 @@ def _score(docs, totals, order: int, bits: int, alpha: float, min_count: int, al
         log[hit] += np.log10(count[k - 1][hit] / count[k - 2][hit - 1])
         open_[hit] = False
         log[at[open_[at]]] += np.log10(alpha)
-    log[open_] += np.log10(count[0][open_] / all_words) if open_.any() else 0
-    total = np.concatenate([[0.0], np.cumsum(log)]) if len(doc_ids) == 0 else np.array([log[a:b].sum() for a, b in zip(firsts[:-1], firsts[1:])])
+    log[open_] += np.log10(count[0][open_] / max(all_words, 1))
+    total = np.array([log[a:b].sum() for a, b in zip(firsts[:-1], firsts[1:])])
     return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_words": pa.array(np.diff(firsts).astype(np.int64)), "log10_score": pa.array(total)})
 
 
@@ -159,12 +169,14 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, m
     doc_ids and repeated rows are returned as they come, and all count; an empty table gives an
     empty result; further columns are ignored.
     """
-    gathered = keep(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_gather, "batch long, doc_ids array<long>, n_words long, data binary"))
-    words = gathered.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    words = docs.select("text").mapInArrow(_words, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # One exchange of the texts, which both the counts and the scores read.
+    gathered = docs.mapInArrow(_gather, "batch long, doc_ids array<long>, data binary").repartition(partitions(docs.sparkSession), "batch")
     grams = max(1, order * words)
     bits = min(64, max(40, grams.bit_length() + SPARE_BITS))
     parts = -(-grams // PART)
-    sent = gathered.select("batch", "doc_ids", "data").mapInArrow(lambda b: _send(b, order, bits, parts), "part int, batch long, first long, n long, data binary")
+    sent = gathered.mapInArrow(lambda b: _send(b, order, bits, parts), "part int, batch long, first long, n long, data binary")
     totals = sent.groupBy("part").applyInArrow(_sum, "batch long, first long, n long, totals binary")
     both = gathered.groupBy("batch").cogroup(totals.groupBy("batch"))
     scored = both.applyInArrow(lambda a, b: _score(a, b, order, bits, alpha, min_count, words), "doc_id long, n_words long, log10_score double")
