@@ -24,6 +24,13 @@ def universal_hash(x: Column, a: int, b: int, p: int, m: Column | int) -> Column
     return (x * F.lit(a) + F.lit(b)) % F.lit(p) % (F.lit(m) if isinstance(m, int) else m)
 
 
+def hash_rows(x: Column, family: list[tuple[int, int, int]], m: Column | int) -> Column:
+    """An array of (i, h): each function of a family with its number, as one loop and not as many expressions."""
+    parameters = F.lit([list(f) for f in family]).cast("array<array<bigint>>")
+    bins = F.lit(m).cast("bigint") if isinstance(m, int) else m.cast("bigint")
+    return F.transform(parameters, lambda f, i: F.struct(i.alias("i"), ((x * F.get(f, F.lit(0)) + F.get(f, F.lit(1))) % F.get(f, F.lit(2)) % bins).alias("h")))
+
+
 def trailing_zeros(h: Column) -> Column:
     """Zero bits at the low end of a non-negative integer; 1 for zero, whose binary form is "0"."""
     return F.when(h == 0, 1).otherwise(F.locate("1", F.reverse(F.bin(h))) - 1).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.columns import big_int_mod, hash_family, trailing_zeros, universal_hash
+from granary.functions.columns import big_int_mod, hash_family, hash_rows, trailing_zeros
 
 FIELD = 2_147_483_647
 BITS, BLOOM_HASHES = 69_997, 10
@@ -22,8 +22,8 @@ def fm_family(hashes: int = FM_HASHES, limit: int = FM_RANGE, seed: int = 6) ->
 
 
 def positions(c: Column, bits: int, family: list[tuple[int, int, int]]) -> Column:
-    x = big_int_mod(c, FIELD)
-    return F.transform(F.array(x), lambda v: F.array(*[universal_hash(v, a, b, p, bits) for a, b, p in family]))[0]
+    """The bits of an element, given as a number below FIELD."""
+    return F.transform(hash_rows(c, family, bits), lambda r: r["h"])
 
 
 def firsts(stream: DataFrame) -> DataFrame:
@@ -33,12 +33,14 @@ def firsts(stream: DataFrame) -> DataFrame:
 
 def bit_firsts(ids: DataFrame, bits: int, family: list[tuple[int, int, int]]) -> DataFrame:
     """(id, seq, ...) -> (bit, seq): when each bit was first set."""
-    return ids.select(F.explode(positions(F.col("id").cast("string"), bits, family)).alias("bit"), "seq").groupBy("bit").agg(F.min("seq").alias("seq"))
+    numbers = ids.select("seq", big_int_mod(F.col("id").cast("string"), FIELD).alias("x"))
+    return numbers.select(F.explode(positions(F.col("x"), bits, family)).alias("bit"), "seq").groupBy("bit").agg(F.min("seq").alias("seq"))
 
 
 def judged(ids: DataFrame, set_at: DataFrame, bits: int, family: list[tuple[int, int, int]]) -> DataFrame:
     """Ids as they first come -> with `taken`: all their bits were set before, so the filter takes them for known."""
-    each = ids.select("id", "seq", "batch", F.explode(positions(F.col("id").cast("string"), bits, family)).alias("bit"))
+    numbers = ids.select("id", "seq", "batch", big_int_mod(F.col("id").cast("string"), FIELD).alias("x"))
+    each = numbers.select("id", "seq", "batch", F.explode(positions(F.col("x"), bits, family)).alias("bit"))
     met = each.join(set_at.select("bit", F.col("seq").alias("set_seq")), "bit")
     return met.groupBy("id", "seq", "batch").agg((F.max("set_seq") < F.col("seq")).alias("taken"))
 
@@ -61,8 +63,13 @@ def false_positive_rate(stream: DataFrame, bits: int = BITS, family: list[tuple[
 def distinct_estimate(stream: DataFrame, group: int = FM_GROUP, limit: int = FM_RANGE, family: list[tuple[int, int, int]] | None = None) -> DataFrame:
     """Per batch: rows, distinct ids, and the estimate: the upper median of 2 ** (mean of each group's most trailing zeros), cut to an integer."""
     family = family or fm_family(limit=limit)
-    x = stream.select("batch", "id", big_int_mod(F.col("id").cast("string"), FIELD).alias("x"))
-    most = x.groupBy("batch").agg(F.count("*").alias("n_rows"), F.countDistinct("id").alias("n_distinct"), F.array(*[F.max(trailing_zeros(universal_hash(F.col("x"), a, b, p, limit))) for a, b, p in family]).alias("r"))
+    counts = stream.groupBy("batch").agg(F.count("*").alias("n_rows"), F.countDistinct("id").alias("n_distinct"))
+    x = stream.select("batch", big_int_mod(F.col("id").cast("string"), FIELD).alias("x")).distinct()
+    hashed = x.select("batch", F.explode(hash_rows(F.col("x"), family, limit)).alias("r"))
+    zeros = hashed.groupBy("batch", "r.i").agg(F.max(trailing_zeros(F.col("r.h"))).alias("z"))
+    # As many rows for each batch as there are hashes.
+    rows = zeros.groupBy("batch").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "z"))), lambda r: r["z"]).alias("r"))
+    most = counts.join(rows, "batch")
     groups = len(family) // group
     powers = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.pow(F.lit(2.0), F.aggregate(F.slice("r", g * group + 1, group), F.lit(0), lambda a, v: a + v) / F.lit(group)))
     return most.select("batch", "n_rows", "n_distinct", F.sort_array(powers)[groups // 2].cast("bigint").alias("estimate"))
