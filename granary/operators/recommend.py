@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.plans.lineage import keep, spread
+
 #: Similarity by the ratio of two items' means where co-raters define none: bounds, inclusive, from the middle outwards.
 LADDER = [(0.9, 1.1, 0.9), (0.8, 1.2, 0.7), (0.7, 1.3, 0.5), (0.6, 1.4, 0.3)]
 FLAT = 1e-9
@@ -36,9 +38,9 @@ def pearson(deviations: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
 
     With pairs (a, b) only those are computed: pairs meet the ratings of a, then of b.
     """
-    left = deviations.select("user", F.col("item").alias("a"), F.col("deviation").alias("x"))
+    left = spread(deviations, "item").select("user", F.col("item").alias("a"), F.col("deviation").alias("x"))
     right = deviations.select("user", F.col("item").alias("b"), F.col("deviation").alias("y"))
-    both = left.join(right, "user").filter("a < b") if pairs is None else pairs.join(left, "a").join(right, ["user", "b"])
+    both = left.join(right, "user").filter("a < b") if pairs is None else spread(pairs, "a", "b").join(left, "a").join(right, ["user", "b"])
     x, y = F.col("x"), F.col("y")
     sums = both.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.sum(x * y).alias("xy"))
     vx, vy = F.col("xx") - F.col("sx") * F.col("sx") / F.col("n"), F.col("yy") - F.col("sy") * F.col("sy") / F.col("n")
@@ -60,7 +62,7 @@ def item_cf(ratings: DataFrame, queries: DataFrame, neighbours: int = 18) -> Dat
     asked = queries.select("user", "item").distinct().join(users, "user", "left").join(items, "item", "left")
     known = asked.filter("user_mean is not null and item_mean is not null")
     others = known.join(dev.select("user", F.col("item").alias("other"), "deviation"), "user").filter("item <> other")
-    others = others.withColumn("a", F.least("item", "other")).withColumn("b", F.greatest("item", "other"))
+    others = keep(others.withColumn("a", F.least("item", "other")).withColumn("b", F.greatest("item", "other")))
     likeness = pearson(dev, others.select("a", "b").distinct()).select("a", "b", "similarity")
     # A lasting order of equal weights: by item.
     weighed = others.join(likeness, ["a", "b"], "left").join(items.select(F.col("item").alias("other"), F.col("item_mean").alias("other_mean")), "other")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.columns import big_int_mod, hash_family, hash_rows, trailing_zeros
+from granary.plans.lineage import spread
 
 FIELD = 2_147_483_647
 BITS, BLOOM_HASHES = 69_997, 10
@@ -64,7 +65,7 @@ def distinct_estimate(stream: DataFrame, group: int = FM_GROUP, limit: int = FM_
     """Per batch: rows, distinct ids, and the estimate: the upper median of 2 ** (mean of each group's most trailing zeros), cut to an integer."""
     family = family or fm_family(limit=limit)
     counts = stream.groupBy("batch").agg(F.count("*").alias("n_rows"), F.countDistinct("id").alias("n_distinct"))
-    x = stream.select("batch", big_int_mod(F.col("id").cast("string"), FIELD).alias("x")).distinct()
+    x = spread(stream.select("batch", big_int_mod(F.col("id").cast("string"), FIELD).alias("x")), "batch", "x").distinct()
     hashed = x.select("batch", F.explode(hash_rows(F.col("x"), family, limit)).alias("r"))
     zeros = hashed.groupBy("batch", "r.i").agg(F.max(trailing_zeros(F.col("r.h"))).alias("z"))
     # As many rows for each batch as there are hashes.

@@ -16,6 +16,11 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by keys over all shuffle partitions, however few their bytes: for what makes many rows of each."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """The same rows, from files that outlive any executor."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
