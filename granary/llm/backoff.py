@@ -94,13 +94,14 @@ def _send(batches: Iterator, order: int, bits: int, parts: int) -> Iterator:
     for batch in batches:
         for i in range(batch.num_rows):
             key, count = np.unique(_grams(_texts(batch.column("data")[i].as_py(), len(batch.column("doc_ids")[i])), order, bits)[0], return_counts=True)
-            cut = np.concatenate([[0], np.searchsorted(key, bounds), [len(key)]]).tolist()
+            place = np.searchsorted(bounds, key, side="right")
+            # Only parts that the batch has n-grams for.
+            cut = np.flatnonzero(np.diff(place, prepend=-1, append=-1)).tolist()
             rows = []
-            for p, (a, b) in enumerate(zip(cut, cut[1:])):
-                if b > a:
-                    planes = np.diff(key[a:b], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
-                    counts = count[a:b].astype("<u4").view(np.uint8).reshape(-1, 4).T
-                    rows.append((p, a, b - a, squeeze.compress(np.ascontiguousarray(planes).tobytes() + np.ascontiguousarray(counts).tobytes())))
+            for a, b in zip(cut, cut[1:]):
+                planes = np.diff(key[a:b], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+                counts = count[a:b].astype("<u4").view(np.uint8).reshape(-1, 4).T
+                rows.append((int(place[a]), a, b - a, squeeze.compress(np.ascontiguousarray(planes).tobytes() + np.ascontiguousarray(counts).tobytes())))
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([batch.column("batch")[i].as_py()] * len(rows), pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], ["part", "batch", "first", "n", "data"])

@@ -165,11 +165,13 @@ def _send(batches: Iterator, cuts: list[int], window: int) -> Iterator:
     import pyarrow as pa
 
     bounds = np.array(cuts, dtype=np.uint64) << np.uint64(32)
-    for k, (rank, bucket, _, texts) in enumerate(_batches(_rows(batches))):
+    for rank, bucket, _, texts in _batches(_rows(batches)):
         hashes, _, at = _windows(texts, window)
         key, extra, _ = _unique(*_codes(hashes, at, window))
-        place = np.concatenate([np.searchsorted(key, bounds), [len(key)]])
-        rows = [(g, rank, bucket, a, b - a, _squeeze(key[a:b], extra[a:b])) for g, (a, b) in enumerate(zip(place.tolist(), place[1:].tolist())) if b > a]
+        place = np.searchsorted(bounds, key, side="right") - 1
+        # Only groups that the batch has suffixes for.
+        cut = np.flatnonzero(np.diff(place, prepend=-1, append=-1)).tolist()
+        rows = [(int(place[a]), rank, bucket, a, b - a, _squeeze(key[a:b], extra[a:b])) for a, b in zip(cut, cut[1:])]
         if rows:
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()])], ["grp", "rank", "bucket", "first", "n", "data"])
