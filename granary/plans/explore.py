@@ -91,6 +91,20 @@ def distinct_pairs(spark, sf):
     return _events(spark, sf).select("user_id", "k").distinct()
 
 
+def first_row(spark, sf):
+    return table(spark, sf, "nation").orderBy("n_nationkey").limit(1).select("n_nationkey", "n_name")
+
+
+def city_lines(spark, sf):
+    """The averages as CSV fields would be written, nulls last."""
+    return _averages(spark, sf).select(F.concat_ws(",", F.coalesce("n_name", F.lit("None")), F.format_number("average", 3)).alias("line"))
+
+
+def chunk_sizes(spark, sf):
+    """Five chunks of points by a hash of their id that SQL can follow."""
+    return table(spark, sf, "embeddings").groupBy(((F.col("vec_id") * 48_271 + 11) % 2_147_483_647 % 5).alias("chunk")).agg(F.count("*").alias("n"))
+
+
 def report_json(spark, sf):
     """One JSON document, pairs as arrays of two."""
     top = explore.top_keys(table(spark, sf, "events"), "event_type", 3)
@@ -107,7 +121,7 @@ _AVG = """
 _TOP = f"SELECT n_name, round(average, 6) AS average, n FROM ({_AVG}) ORDER BY average DESC, n_name NULLS LAST LIMIT 10"
 _EK = "(SELECT *, json_extract_string(props, '$.k') AS k FROM events)"
 
-QUERIES = {f.__name__: f for f in (explore_counts, top10_user, top10_item, avg_by_group_left_join, top10_group_avg, top10_group_avg_on_driver, partition_sizes_custom, partition_sizes_default, json_extract, substring_filter, concat_key, dirty_cast, union_all_rows, set_intersection, set_difference, distinct_pairs, report_json)}
+QUERIES = {f.__name__: f for f in (explore_counts, top10_user, top10_item, avg_by_group_left_join, top10_group_avg, top10_group_avg_on_driver, partition_sizes_custom, partition_sizes_default, json_extract, substring_filter, concat_key, dirty_cast, union_all_rows, set_intersection, set_difference, distinct_pairs, first_row, city_lines, chunk_sizes, report_json)}
 ORACLE = {
     "explore_counts": f"SELECT count(*) AS n_rows, count(*) FILTER (contains(ts::VARCHAR, '2024-01-1')) AS n_matching, count(DISTINCT user_id) AS n_users, count(DISTINCT k) AS n_items FROM {_EK}",
     "top10_user": "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10",
@@ -123,6 +137,9 @@ ORACLE = {
     "union_all_rows": "SELECT key, count(*) AS n FROM (SELECT o_orderkey AS key FROM orders UNION ALL SELECT l_orderkey FROM lineitem WHERE l_orderkey % 3 = 0) GROUP BY key",
     "set_intersection": "SELECT c_custkey AS key FROM customer INTERSECT SELECT o_custkey FROM orders",
     "set_difference": "SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "first_row": "SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 1",
+    "city_lines": f"SELECT concat_ws(',', coalesce(n_name, 'None'), printf('%.3f', average)) AS line FROM ({_AVG})",
+    "chunk_sizes": "SELECT (vec_id * 48271 + 11) % 2147483647 % 5 AS chunk, count(*) AS n FROM embeddings GROUP BY 1",
     "distinct_pairs": f"SELECT DISTINCT user_id, k FROM {_EK}",
     "report_json": """SELECT '{"top":[' || string_agg('["' || event_type || '",' || n || ']', ',' ORDER BY n DESC, event_type) || ']}' AS document FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, event_type LIMIT 3)""",
 }

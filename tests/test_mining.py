@@ -92,6 +92,16 @@ def test_hybrid_falls_back(spark):
     assert got == [("a", 2.88), ("b", 2.0), ("c", 4.0), ("d", 3.3), ("d", 3.3)]
 
 
+def test_trees_learn_a_step(spark):
+    rng = random.Random(3)
+    rows = [(str(i), "x", 5.0 if a > 0.5 else 1.0, a, 1, 2.0, None if i % 7 == 0 else 3, 10) for i in range(200) for a in [rng.random()]]
+    df = spark.createDataFrame(rows, "user string, item string, rating double, user_average double, user_count long, item_average double, item_count long, days int")
+    got = {r["user"]: r["prediction"] for r in recommend.boosted_trees(df, df, rounds=5, share="all").collect()}
+    assert sum(abs(got[r[0]] - r[2]) for r in rows) / len(rows) < 0.3
+    best = recommend.tuned_trees(df, {"maxDepth": [1, 2], "maxIter": [2]}, folds=2)
+    assert len(best.avgMetrics) == 2
+
+
 def edges_of(spark, pairs):
     return spark.createDataFrame([(min(p), max(p)) for p in pairs], "src long, dst long")
 
