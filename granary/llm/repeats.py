@@ -288,5 +288,22 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"), F.size("repeats").alias("n_repeats"))
 
 
+ORACLE_SQL = """
+WITH w AS (
+  SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)
+), g AS (
+  SELECT doc_id, i, w, string_agg(w, ' ') OVER f AS k, count(*) OVER f AS n FROM w
+  WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+), least_ AS (SELECT k, min(doc_id) AS m FROM g WHERE n = 13 GROUP BY k
+), h AS (SELECT g.doc_id, g.i, g.w, coalesce(g.n = 13 AND m < g.doc_id, FALSE) AS hit FROM g LEFT JOIN least_ USING (k)
+), c AS (
+  SELECT doc_id, i, w, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS cut FROM h
+), r AS (SELECT *, cut AND NOT coalesce(lag(cut) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS first FROM c)
+SELECT d.doc_id, count(w)::BIGINT AS n_words, (count(*) FILTER (cut))::BIGINT AS n_removed,
+  sha256(coalesce(string_agg(w, ' ' ORDER BY i) FILTER (NOT cut), '')) AS kept_sha256, (count(*) FILTER (first))::INT AS n_repeats
+FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
 QUERIES = {"op4_substring_dedup": op4_substring_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op4_substring_dedup": ORACLE_SQL}
