@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import decontaminate, packing, quality, secrets, simhash
+from granary.llm import decontaminate, nearcopies, packing, quality, secrets
 from granary.llm.common import keep, table
 
 
@@ -14,8 +14,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose SimHash fingerprints of five-word shingles link."""
-    return simhash.without_copies(docs)
+    """One document of each group that pairs with a Jaccard similarity of five-word shingles of 0.8 or more link."""
+    return nearcopies.without_near_copies(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
