@@ -23,8 +23,6 @@ from granary.llm.common import BATCH_BYTES, partitions, pieces, table
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 #: N-grams, as batches send them, that a part of the count tables should hold.
 PART = 1 << 22
-#: Bits of an n-gram's hash beyond those that number all n-grams: two share one with a chance below 2**-20 for each.
-SPARE_BITS = 21
 
 
 def _gather(batches: Iterator) -> Iterator:
@@ -62,8 +60,8 @@ def _texts(data: bytes, n: int) -> list[bytes]:
     return [raw[a:b] for a, b in zip([8 * n, *ends.tolist()], ends.tolist())]
 
 
-def _grams(texts: list[bytes], order: int, bits: int):
-    """Hashes of n-grams of each order, one row after the other, and what says where they end.
+def _grams(texts: list[bytes], order: int):
+    """64-bit hashes of n-grams of each order, one row after the other, and what says where they end.
 
     -> (all hashes, [places of their last words for each order], where each text's words begin and end)
     """
@@ -79,21 +77,21 @@ def _grams(texts: list[bytes], order: int, bits: int):
     keys, places = [], []
     for k in range(1, order + 1):
         at = np.flatnonzero(inside >= k - 1)
-        keys.append(sequence_hashes(hashes, k, salt=k)[at - (k - 1)] >> np.uint64(64 - bits))
+        keys.append(sequence_hashes(hashes, k, salt=k)[at - (k - 1)])
         places.append(at)
     return np.concatenate(keys), places, firsts
 
 
-def _send(batches: Iterator, order: int, bits: int, parts: int) -> Iterator:
+def _send(batches: Iterator, order: int, parts: int) -> Iterator:
     import numpy as np
     import pyarrow as pa
     import zstandard
 
     squeeze = zstandard.ZstdCompressor(level=1)
-    bounds = np.array([(p << bits) // parts for p in range(1, parts)], dtype=np.uint64)
+    bounds = np.array([(p << 64) // parts for p in range(1, parts)], dtype=np.uint64)
     for batch in batches:
         for i in range(batch.num_rows):
-            key, count = np.unique(_grams(_texts(batch.column("data")[i].as_py(), len(batch.column("doc_ids")[i])), order, bits)[0], return_counts=True)
+            key, count = np.unique(_grams(_texts(batch.column("data")[i].as_py(), len(batch.column("doc_ids")[i])), order)[0], return_counts=True)
             place = np.searchsorted(bounds, key, side="right")
             # Only parts that the batch has n-grams for.
             cut = np.flatnonzero(np.diff(place, prepend=-1, append=-1)).tolist()
@@ -129,7 +127,7 @@ def _sum(part):
     return pa.Table.from_arrays([part.column("batch"), part.column("first"), part.column("n"), pa.array(packed, pa.binary())], names=["batch", "first", "n", "totals"])
 
 
-def _score(docs, totals, order: int, bits: int, alpha: float, min_count: int, all_words: int):
+def _score(docs, totals, order: int, alpha: float, min_count: int, all_words: int):
     import numpy as np
     import pyarrow as pa
     import zstandard
@@ -137,7 +135,7 @@ def _score(docs, totals, order: int, bits: int, alpha: float, min_count: int, al
     if docs.num_rows == 0:
         return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "log10_score": pa.array([], pa.float64())})
     doc_ids = docs.column("doc_ids")[0].as_py()
-    keys, places, firsts = _grams(_texts(docs.column("data")[0].as_py(), len(doc_ids)), order, bits)
+    keys, places, firsts = _grams(_texts(docs.column("data")[0].as_py(), len(doc_ids)), order)
     _, inverse, own = np.unique(keys, return_inverse=True, return_counts=True)
     table = own.astype(np.uint64)
     for f, n, t in zip(*(totals.column(c).to_pylist() for c in ("first", "n", "totals"))):
@@ -175,12 +173,11 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, m
     # One exchange of the texts, which both the counts and the scores read.
     gathered = docs.mapInArrow(_gather, "batch long, doc_ids array<long>, data binary").repartition(partitions(docs.sparkSession), "batch")
     grams = max(1, order * words)
-    bits = min(64, max(40, grams.bit_length() + SPARE_BITS))
     parts = -(-grams // PART)
-    sent = gathered.mapInArrow(lambda b: _send(b, order, bits, parts), "part int, batch long, first long, n long, data binary")
+    sent = gathered.mapInArrow(lambda b: _send(b, order, parts), "part int, batch long, first long, n long, data binary")
     totals = sent.groupBy("part").applyInArrow(_sum, "batch long, first long, n long, totals binary")
     both = gathered.groupBy("batch").cogroup(totals.groupBy("batch"))
-    scored = both.applyInArrow(lambda a, b: _score(a, b, order, bits, alpha, min_count, words), "doc_id long, n_words long, log10_score double")
+    scored = both.applyInArrow(lambda a, b: _score(a, b, order, alpha, min_count, words), "doc_id long, n_words long, log10_score double")
     return scored.withColumn("log10_per_word", F.when(F.col("n_words") > 0, F.col("log10_score") / F.col("n_words")))
 
 

@@ -352,3 +352,9 @@ def test_prior_of_a_mixture():
     mixed = np.concatenate([rng.normal(2, 1, 3500), rng.normal(-3, 1, 1500)])
     assert abs(quality.estimate_prior(positive, mixed) - 0.7) < 0.03
 
+
+
+def test_backoff_hashes_have_64_bits():
+    """Few n-grams use all the bits: none are cut to a width that follows the size of the input."""
+    keys = backoff._grams([b"a b c d e f g h i j k l m n o p"], 3)[0]
+    assert max(int(k).bit_length() for k in keys) > 60 and any(int(k) & 0xFF for k in keys)
