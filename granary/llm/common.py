@@ -8,9 +8,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.plans.lineage import keep, shared_dir
+from granary.plans.lineage import keep, release, shared_dir
 
-__all__ = ["BATCH_BYTES", "keep", "partitions", "pieces", "shared_dir", "table"]
+__all__ = ["BATCH_BYTES", "keep", "partitions", "pieces", "release", "shared_dir", "table"]
 
 #: Bytes of text that Python works on at once.
 BATCH_BYTES = 4 << 20

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import keep
+from granary.llm.common import keep, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = keep(edges.filter("a <> b").select("a", "b").distinct())
     mark = None
     while True:
-        now = keep(_star(_star(now, True), False))
+        last, now = now, keep(_star(_star(now, True), False))
+        release(last)
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if new == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

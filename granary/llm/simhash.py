@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.common import keep, partitions, pieces, table
@@ -22,6 +22,17 @@ SEED = 42
 _LOW = 0x5555555555555555
 
 
+def fingerprint(hashes) -> int:
+    """The bits that are set in over half of the hashes (u64, repeats counted); zero without any."""
+    import numpy as np
+
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 18):
+        h = hashes[at : at + (1 << 18)].astype(">u8")
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big") if len(hashes) else 0
+
+
 def _fingerprints(batches: Iterator, n: int) -> Iterator:
     import numpy as np
     import pyarrow as pa
@@ -37,12 +48,7 @@ def _fingerprints(batches: Iterator, n: int) -> Iterator:
                     continue
                 joined, k = b" ".join(w), min(n, len(w))
                 ends = list(accumulate(len(x) + 1 for x in w))
-                hashes = [digest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[k - 1 :])]
-                ones = np.zeros(64, dtype=np.int64)
-                for at in range(0, len(hashes), 1 << 18):
-                    h = np.array(hashes[at : at + (1 << 18)], dtype=">u8")
-                    ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-                out[i] = int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+                out[i] = fingerprint(np.array([digest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[k - 1 :])], dtype=np.uint64))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
 
@@ -171,23 +177,6 @@ def near_duplicates(docs: DataFrame, n: int = 4, distance: int = 4) -> DataFrame
     return rows.join(by_class, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def without_copies(docs: DataFrame, n: int = 5, distance: int = 4) -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their group of near-duplicates: one of each.
-
-    It is the row with the least doc_id, of rows with one id the first by text.  Rows without an
-    id stand for a group only if none in it has one; alike rows without an id are one row.
-    """
-    columns = docs.columns
-    rest = F.xxhash64(*[F.col(c).cast("string") for c in ("text", "lang", "source") if c in columns])
-    # Ids that sort after all others for rows that have none.
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(rest, F.lit(1 << 61))))
-    groups = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), n, distance)
-    stay = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__key")).distinct()
-    first = Window.partitionBy("__key").orderBy("text")
-    # The join and the window share one exchange of the texts.
-    return keyed.join(stay, "__key", "left_semi").withColumn("__place", F.row_number().over(first)).filter("__place = 1").select(*columns)
-
-
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -1,11 +1,14 @@
 """The pipeline's near-duplicate stage against brute force over shingle sets."""
 
 import random
+from collections import Counter
 from itertools import combinations
 
 import corpus_pipeline
 import pytest
 
+from granary.llm import nearcopies
+
 SCHEMA = "doc_id long, text string, lang string, source string"
 
 
@@ -53,6 +56,26 @@ def test_edited_copies(spark):
     assert left(spark, []) == []
 
 
+def test_rows_keep_their_identity(spark):
+    """Rows that share an id but not a text, null ids, repeated rows, columns with names that the stage uses inside."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(3, b), (7, b), (7, c), (9, a), (9, a), (None, a), (None, c + " more"), (None, a.upper()), (2**62 + 5, "x y"), (None, "x  Y"), (None, "only here"), (None, "only here")]
+    schema = "doc_id long, text string, row string, id int, none string, place int, root string, th string, `a.b` int"
+    docs = spark.createDataFrame([(i, t, "r", 1, "n", 2, "q", "h", 4) for i, t in rows], schema).repartition(3)
+    out = corpus_pipeline.dedup(spark, docs, "")
+    assert out.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter([(3, b), (7, c), (9, a), (2**62 + 5, "x y"), (None, "only here")])
+
+
+def test_crowded_cells_in_blocks(spark, monkeypatch):
+    """Cells that are cut into many blocks give the same groups."""
+    rng = random.Random(6)
+    base = [f"v{rng.randrange(900)}" for _ in range(60)]
+    rows = [(i, " ".join([*base[: 60 - i % 9], *[f"v{rng.randrange(900)}" for _ in range(i % 11)]])) for i in range(60)]
+    monkeypatch.setattr(nearcopies, "BLOCK", 300)
+    assert left(spark, rows) == sorted(survivors(rows), key=str)
+
+
 @pytest.mark.parametrize("size", ["sf0.01"])
 def test_given_documents(spark, size):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"/root/testdata/{size}/documents.parquet").collect()]
