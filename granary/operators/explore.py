@@ -28,9 +28,16 @@ def top_groups(averages: DataFrame, group: str, n: int = 10) -> DataFrame:
     return averages.orderBy(F.desc("average"), F.asc_nulls_last(group)).limit(n)
 
 
+#: Groups that a driver may sort.
+DRIVER_ROWS = 1 << 20
+
+
 def top_groups_on_driver(averages: DataFrame, group: str, n: int = 10) -> DataFrame:
-    """The same by collecting the averages, for comparison; they must be few."""
-    rows = sorted(averages.collect(), key=lambda r: (-r["average"], r[group] is None, r[group] or ""))[:n]
+    """The same by collecting the averages, for comparison; more than DRIVER_ROWS of them are refused."""
+    held = averages.limit(DRIVER_ROWS + 1).collect()
+    if len(held) > DRIVER_ROWS:
+        raise ValueError(f"more than {DRIVER_ROWS} groups: use top_groups")
+    rows = sorted(held, key=lambda r: (-r["average"], r[group] is None, r[group] or ""))[:n]
     return averages.sparkSession.createDataFrame(rows, averages.schema)
 
 

@@ -76,7 +76,7 @@ def dirty_cast(spark, sf):
 
 def union_all_rows(spark, sf):
     orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    return orders.select(F.col("o_orderkey").alias("key")).unionAll(lines.select(F.col("l_orderkey").alias("key")).filter("key % 3 = 0")).groupBy("key").agg(F.count("*").alias("n"))
+    return orders.select(F.col("o_orderkey").alias("key")).unionAll(lines.select(F.col("l_orderkey").alias("key"))).groupBy("key").agg(F.count("*").alias("n"))
 
 
 def set_intersection(spark, sf):
@@ -84,7 +84,8 @@ def set_intersection(spark, sf):
 
 
 def set_difference(spark, sf):
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("key")).join(table(spark, sf, "orders").select(F.col("o_custkey").alias("key")), "key", "left_anti")
+    """Part keys that are no supplier's key."""
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("key")).subtract(table(spark, sf, "supplier").select("s_suppkey"))
 
 
 def distinct_pairs(spark, sf):
@@ -134,9 +135,9 @@ ORACLE = {
     "substring_filter": "SELECT event_id, user_id FROM events WHERE contains(ts::VARCHAR, '-01-05')",
     "concat_key": "SELECT event_id, concat_ws('-', ts::DATE::VARCHAR, user_id::VARCHAR) AS basket FROM events",
     "dirty_cast": "SELECT p_partkey, p_size::BIGINT AS n FROM part",
-    "union_all_rows": "SELECT key, count(*) AS n FROM (SELECT o_orderkey AS key FROM orders UNION ALL SELECT l_orderkey FROM lineitem WHERE l_orderkey % 3 = 0) GROUP BY key",
+    "union_all_rows": "SELECT key, count(*) AS n FROM (SELECT o_orderkey AS key FROM orders UNION ALL SELECT l_orderkey FROM lineitem) GROUP BY key",
     "set_intersection": "SELECT c_custkey AS key FROM customer INTERSECT SELECT o_custkey FROM orders",
-    "set_difference": "SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "set_difference": "SELECT p_partkey AS key FROM part EXCEPT SELECT s_suppkey FROM supplier",
     "first_row": "SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 1",
     "city_lines": f"SELECT concat_ws(',', coalesce(n_name, 'None'), printf('%.3f', average)) AS line FROM ({_AVG})",
     "chunk_sizes": "SELECT (vec_id * 48271 + 11) % 2147483647 % 5 AS chunk, count(*) AS n FROM embeddings GROUP BY 1",

@@ -9,34 +9,39 @@ from granary.plans.lineage import keep
 from granary.sources.tables import table
 
 
-def _ratings(spark, sf, held: bool):
-    e = table(spark, sf, "events").filter(F.expr("event_id % 10 = 0") if held else F.expr("event_id % 10 <> 0"))
-    return e.select(F.col("user_id").alias("user"), F.get_json_object("props", "$.k").alias("item"), (1 + F.pmod(F.col("event_id") * 7 + F.col("user_id"), F.lit(5))).cast("double").alias("rating"))
+def _ratings(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", F.col("user_id").alias("user"), F.get_json_object("props", "$.k").alias("item"), (1 + F.pmod(F.col("event_id") * 7 + F.col("user_id"), F.lit(5))).cast("double").alias("rating"))
+
+
+def _all(spark, sf):
+    return keep(ops.one_rating(_ratings(spark, sf)))
 
 
 def _train(spark, sf):
-    return keep(ops.one_rating(_ratings(spark, sf, False)))
+    """Without the tenth that predictions are asked for."""
+    return keep(ops.one_rating(_ratings(spark, sf).filter("event_id % 10 <> 0")))
 
 
 def _queries(spark, sf):
     cold = spark.createDataFrame([(-1, "1"), (1, "none"), (-1, "none")], "user long, item string")
-    return _ratings(spark, sf, True).select("user", "item").unionByName(cold).distinct()
+    return _ratings(spark, sf).filter("event_id % 10 = 0").select("user", "item").unionByName(cold).distinct()
 
 
 def user_means(spark, sf):
-    return ops.means(_train(spark, sf), "user").select("user", F.round("user_mean", 6).alias("user_mean"))
+    return ops.means(_all(spark, sf), "user").select("user", F.round("user_mean", 6).alias("user_mean"))
 
 
 def item_means(spark, sf):
-    return ops.means(_train(spark, sf), "item").select("item", F.round("item_mean", 6).alias("item_mean"))
+    return ops.means(_all(spark, sf), "item").select("item", F.round("item_mean", 6).alias("item_mean"))
 
 
 def centred_ratings(spark, sf):
-    return ops.centred(_train(spark, sf)).select("user", "item", F.round("deviation", 6).alias("deviation"))
+    return ops.centred(_all(spark, sf)).select("user", "item", F.round("deviation", 6).alias("deviation"))
 
 
 def pearson_item_pairs(spark, sf):
-    return ops.pearson(ops.centred(_train(spark, sf))).select("a", "b", "n", F.round("similarity", 6).alias("similarity"))
+    return ops.pearson(ops.centred(_all(spark, sf))).select("a", "b", "n", F.round("similarity", 6).alias("similarity"))
 
 
 def item_cf_predict(spark, sf):
@@ -44,30 +49,34 @@ def item_cf_predict(spark, sf):
 
 
 def _features(spark, sf):
-    # A tenth of the customers and a seventh of the suppliers are unknown.
-    pairs = table(spark, sf, "lineitem").filter("l_linenumber = 1").join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate"), "l_orderkey")
-    pairs = pairs.select("l_orderkey", F.col("o_custkey").alias("user"), F.col("l_suppkey").alias("item"), (1 + F.col("l_quantity") % 5).alias("rating"))
-    orders = table(spark, sf, "orders").filter("o_custkey % 10 <> 0").groupBy(F.col("o_custkey").alias("user")).agg(F.avg("o_totalprice").alias("user_average"), F.count("*").alias("user_count"), F.min("o_orderdate").cast("date").cast("string").alias("since"))
-    supply = table(spark, sf, "lineitem").filter("l_suppkey % 7 <> 0").groupBy(F.col("l_suppkey").alias("item")).agg(F.avg("l_extendedprice").alias("item_average"), F.count("*").alias("item_count"))
-    return ops.features(pairs, orders, supply, "2002-01-01")
+    """Every line as a rating of a supplier by a customer, with what is known of both from all orders and lines."""
+    lines, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    pairs = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    pairs = pairs.select("l_orderkey", "l_linenumber", F.col("o_custkey").alias("user"), F.col("l_suppkey").alias("item"), (1 + F.col("l_quantity") % 5).alias("rating"))
+    users = orders.groupBy(F.col("o_custkey").alias("user")).agg(F.avg("o_totalprice").alias("user_average"), F.count("*").alias("user_count"), F.min("o_orderdate").cast("date").cast("string").alias("since"))
+    items = lines.groupBy(F.col("l_suppkey").alias("item")).agg(F.avg("l_extendedprice").alias("item_average"), F.count("*").alias("item_count"))
+    return ops.features(pairs, users, items, "2002-01-01")
 
 
 def feature_assembly(spark, sf):
-    return _features(spark, sf).select("l_orderkey", "user", "item", F.round("user_average", 7).alias("user_average"), "user_count", F.round("item_average", 7).alias("item_average"), "item_count", "days")
+    return _features(spark, sf).select("l_orderkey", "l_linenumber", "user", "item", F.round("user_average", 7).alias("user_average"), "user_count", F.round("item_average", 7).alias("item_average"), "item_count", "days")
 
 
 def gbt_predict(spark, sf):
+    """Predictions for the lines of a tenth of the orders by trees fitted on all others."""
     f = keep(_features(spark, sf))
-    return ops.boosted_trees(f.filter("l_orderkey % 10 <> 0"), f.filter("l_orderkey % 10 = 0"), rounds=10).select("user", "item", F.round("prediction", 4).alias("prediction"))
+    return ops.boosted_trees(f.filter("l_orderkey % 10 <> 0"), f.filter("l_orderkey % 10 = 0")).select("user", "item", F.round("prediction", 4).alias("prediction"))
 
 
 def hybrid_predict(spark, sf):
-    """The neighbourhood's predictions with a linear stand-in for the trees that is missing for some pairs."""
+    """The neighbourhood's predictions and those of trees, both fitted on the same ratings."""
     train, asked = _train(spark, sf), keep(_queries(spark, sf))
-    linear = asked.filter("user % 3 <> 0").select("user", "item", (2.0 + F.col("user") % 3).cast("double").alias("prediction"))
-    cf = ops.item_cf(train, asked).filter("user % 4 <> 0")
+    since = table(spark, sf, "events").groupBy(F.col("user_id").alias("user")).agg(F.min("ts").cast("date").cast("string").alias("since"))
+    users = train.groupBy("user").agg(F.avg("rating").alias("user_average"), F.count("*").alias("user_count")).join(since, "user")
+    items = train.groupBy("item").agg(F.avg("rating").alias("item_average"), F.count("*").alias("item_count"))
+    trees = ops.boosted_trees(ops.features(train, users, items, "2025-01-01"), ops.features(asked, users, items, "2025-01-01"))
     overall = train.agg(F.avg("rating")).first()[0]
-    return ops.hybrid(asked, cf, linear, overall).select("user", "item", F.round("prediction", 5).alias("prediction"))
+    return ops.hybrid(asked, ops.item_cf(train, asked), trees, overall).select("user", "item", F.round("prediction", 5).alias("prediction"))
 
 
 _R = """
@@ -85,20 +94,19 @@ o AS (SELECT qa."user", qa.item, d.item AS other, d.x, im2.im AS om, qa.im, coal
 w AS (SELECT *, round(CASE WHEN s < 0 THEN s * 0.5 ELSE s END, 9) AS w FROM o),
 t AS (SELECT "user", item, sum(w * x) AS num, sum(abs(w)) AS den FROM (SELECT *, row_number() OVER (PARTITION BY "user", item ORDER BY abs(w) DESC, other) AS k FROM w) WHERE k <= 18 GROUP BY ALL),
 cf AS (SELECT qa."user", qa.item, CASE WHEN um IS NOT NULL AND im IS NOT NULL AND den IS NOT NULL THEN least(greatest(um + CASE WHEN den > 1e-9 THEN num / den ELSE 0 END, 1), 5) WHEN um IS NOT NULL AND im IS NOT NULL THEN 0.6 * um + 0.4 * im ELSE coalesce(im, um, (SELECT avg(rating) FROM r)) END AS prediction FROM qa LEFT JOIN t USING ("user", item))"""
+#: The same over all ratings, none held back.
+_WHOLE = _R.replace(" WHERE event_id % 10 <> 0", "")
 QUERIES = {f.__name__: f for f in (user_means, item_means, centred_ratings, pearson_item_pairs, item_cf_predict, feature_assembly, gbt_predict, hybrid_predict)}
 ORACLE = {
-    "user_means": f'WITH {_R} SELECT "user", round(um, 6) AS user_mean FROM um',
-    "item_means": f"WITH {_R} SELECT item, round(im, 6) AS item_mean FROM im",
-    "centred_ratings": f'WITH {_R} SELECT "user", item, round(x, 6) AS deviation FROM d',
-    "pearson_item_pairs": f"WITH {_R}, {_P} SELECT a, b, n, round(similarity, 6) AS similarity FROM pear",
+    "user_means": f'WITH {_WHOLE} SELECT "user", round(um, 6) AS user_mean FROM um',
+    "item_means": f"WITH {_WHOLE} SELECT item, round(im, 6) AS item_mean FROM im",
+    "centred_ratings": f'WITH {_WHOLE} SELECT "user", item, round(x, 6) AS deviation FROM d',
+    "pearson_item_pairs": f"WITH {_WHOLE}, {_P} SELECT a, b, n, round(similarity, 6) AS similarity FROM pear",
     "item_cf_predict": f'WITH {_R}, {_P}, {_Q} SELECT "user", item, round(prediction, 5) AS prediction FROM cf',
     "feature_assembly": """
-WITH p AS (SELECT l_orderkey, o_custkey AS "user", l_suppkey AS item FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 1),
-u AS (SELECT o_custkey AS "user", avg(o_totalprice) AS a, count(*) AS n, min(o_orderdate)::DATE AS since FROM orders WHERE o_custkey % 10 <> 0 GROUP BY ALL),
-i AS (SELECT l_suppkey AS item, avg(l_extendedprice) AS a, count(*) AS n FROM lineitem WHERE l_suppkey % 7 <> 0 GROUP BY ALL)
-SELECT l_orderkey, p."user", p.item, round(CASE WHEN u.n IS NOT NULL THEN u.a WHEN i.n IS NOT NULL THEN 3.0 END, 7) AS user_average, u.n AS user_count,
-  round(CASE WHEN i.n IS NOT NULL THEN i.a WHEN u.n IS NOT NULL THEN 3.0 END, 7) AS item_average, i.n AS item_count, (DATE '2002-01-01' - since)::INT AS days
+WITH p AS (SELECT l_orderkey, l_linenumber, o_custkey AS "user", l_suppkey AS item FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+u AS (SELECT o_custkey AS "user", avg(o_totalprice) AS a, count(*) AS n, min(o_orderdate)::DATE AS since FROM orders GROUP BY ALL),
+i AS (SELECT l_suppkey AS item, avg(l_extendedprice) AS a, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, p."user", p.item, round(u.a, 7) AS user_average, u.n AS user_count, round(i.a, 7) AS item_average, i.n AS item_count, (DATE '2002-01-01' - since)::INT AS days
 FROM p LEFT JOIN u USING ("user") LEFT JOIN i USING (item)""",
-    "hybrid_predict": f"""WITH {_R}, {_P}, {_Q}, l AS (SELECT "user", item, (2.0 + "user" % 3)::DOUBLE AS prediction FROM q WHERE "user" % 3 <> 0), c AS (SELECT * FROM cf WHERE "user" % 4 <> 0)
-SELECT q."user", q.item, round(coalesce(0.06 * c.prediction + 0.94 * l.prediction, c.prediction, l.prediction, (SELECT avg(rating) FROM r)), 5) AS prediction FROM q LEFT JOIN c USING ("user", item) LEFT JOIN l USING ("user", item)""",
 }
