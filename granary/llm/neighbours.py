@@ -1,21 +1,25 @@
 """Approximate nearest neighbours by inner product: a robust-pruned directed graph in each shard.
 
-A further component turns inner products into Euclidean distances.  Vectors join a shard's graph
-in growing blocks: a greedy beam search from the medoid proposes neighbours, pruning relaxed by
-ALPHA keeps those that no kept one is nearer to, edges are added backwards and pruned again.
-All queries search every shard by beam search; found ones are scored in double precision on the
-original vectors.  Equal vectors are one node, with as many ids as a result can hold.
+Vectors of about one length (norm) form the shards of a band, so that within a shard the largest
+inner products are nearly the least distances; one further component makes that exact, and
+scales of any size are divided out.  Vectors join a shard's graph in growing blocks: a greedy
+beam search from the medoid proposes neighbours, pruning relaxed by ALPHA keeps those that no
+kept one is nearer to, edges are added backwards and pruned again.  All queries search every
+shard by beam search; found ones are scored in double precision on the original vectors.
+Equal vectors are one node, with as many ids as a result can hold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import keep, table
 
 #: Distinct vectors in a shard, edges of a node, beam widths to build and to search, relaxation.
-SHARD, DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 8192, 32, 64, 128, 1.2
+SHARD, DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 16384, 32, 64, 192, 1.2
+#: Bands of norms to a doubling: there are about 17,000 at most in all of double precision.
+OCTAVE = 8
 #: Queries that search a shard at a time, as one task.
 QUERY_BLOCK = 8192
 _STEP = 4
@@ -151,11 +155,36 @@ def build(x, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA,
 
 
 def _augmented(v):
-    """Inner products with (query, 0) order the vectors as before; all are of one length."""
+    """Inner products with (query, 0) order the vectors as before; all are of length one."""
     import numpy as np
 
-    norm = np.einsum("ij,ij->i", v, v)
-    return np.concatenate([v, np.sqrt(np.maximum(norm.max() - norm, 0))[:, None]], axis=1).astype(np.float32)
+    v = v / np.abs(v).max()
+    norm = np.sqrt(np.einsum("ij,ij->i", v, v))
+    v = v / norm.max()
+    return np.concatenate([v, np.sqrt(np.maximum(1 - (norm / norm.max()) ** 2, 0))[:, None]], axis=1).astype(np.float32)
+
+
+def _directions(q):
+    """Queries of length one, with a further component of zero."""
+    import numpy as np
+
+    q = q / np.abs(q).max(axis=1, keepdims=True)
+    q = q / np.sqrt(np.einsum("ij,ij->i", q, q))[:, None]
+    return np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32)
+
+
+def scores(a, b):
+    """Inner products of rows in double precision; where parts overflow, that of rows scaled by powers of two."""
+    import numpy as np
+
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = np.einsum("ij,ij->i", a, b)
+        odd = np.flatnonzero(~np.isfinite(out))
+        if len(odd):
+            ea, eb = (np.frexp(np.abs(x[odd]).max(axis=1))[1] for x in (a, b))
+            small = np.einsum("ij,ij->i", np.ldexp(a[odd], -ea[:, None]), np.ldexp(b[odd], -eb[:, None]))
+            out[odd] = np.ldexp(small, ea + eb)
+    return out
 
 
 def _index(shard):
@@ -166,10 +195,11 @@ def _index(shard):
     graph, entry = build(_augmented(v.astype(np.float64)))
     flat = pa.array([graph.astype("<i4").tobytes()], pa.binary())
     ids = shard.column("vec_ids").to_pylist()
-    return pa.table({"shard": shard.column("shard")[:1], "entry": pa.array([entry], pa.int32()), "vectors": pa.array([v.astype("<f8").tobytes()], pa.binary()), "graph": flat, "vec_ids": pa.array([ids], pa.list_(pa.list_(pa.int64())))})
+    return pa.table({"width": shard.column("width")[:1], "shard": shard.column("shard")[:1], "entry": pa.array([entry], pa.int32()), "vectors": pa.array([v.astype("<f8").tobytes()], pa.binary()), "graph": flat, "vec_ids": pa.array([ids], pa.list_(pa.list_(pa.int64())))})
 
 
 def _search(index, queries, k: int, beam: int):
+    """The k nearest ids of a shard for each of some queries: query_id, vec_id, score."""
     import numpy as np
     import pyarrow as pa
 
@@ -187,10 +217,13 @@ def _search(index, queries, k: int, beam: int):
         start = np.cumsum(size) - size
         for lo in range(0, len(q), 256):
             part = q[lo : lo + 256]
-            found = beam_search(x, graph, entry, np.concatenate([part, np.zeros((len(part), 1))], axis=1).astype(np.float32), min(beam, len(ids)))
+            found = beam_search(x, graph, entry, _directions(part), min(beam, len(ids)))
+            # A shard that holds few enough is searched whole: nothing that can be returned is left out.
+            if len(ids) <= beam:
+                found = np.tile(np.arange(len(ids)), (len(part), 1))
             r, c = np.nonzero(found >= 0)
             node = found[r, c]
-            score = np.einsum("ij,ij->i", part[r], v[node])
+            score = scores(part[r], v[node])
             r2, s2 = np.repeat(r, size[node]), np.repeat(score, size[node])
             vec = flat[np.repeat(start[node] - (np.cumsum(size[node]) - size[node]), size[node]) + np.arange(size[node].sum())]
             other = vec != q_ids[lo + r2]
@@ -205,6 +238,13 @@ def _search(index, queries, k: int, beam: int):
     return pa.table({c: pa.array(np.concatenate(a) if a else [], types[c]) for c, a in out.items()})
 
 
+def band(embedding: Column) -> Column:
+    """The band of a vector's norm: OCTAVE times its binary logarithm, found without overflow."""
+    most = F.array_max(F.transform(embedding, lambda e: F.abs(e)))
+    squares = F.aggregate(F.transform(embedding, lambda e: (e / most) * (e / most)), F.lit(0.0), lambda a, b: a + b)
+    return F.floor(OCTAVE * (F.log2(most) + F.log2(squares) / 2) + 0.5).cast("int")
+
+
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, beam: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found for each row whose vec_id is divisible by `every`.
 
@@ -212,24 +252,30 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, beam: int = SEARCH
     equal scores go by smaller vec_id.  Rows with a null vec_id, and vectors that are null,
     empty, zero or hold null or non-finite components take no part; of rows with one vec_id the
     least vector counts; vectors are compared with those of their own length.  An empty table
-    gives an empty result; further columns are ignored.
+    gives an empty result; further columns are ignored.  Components may be of any finite size; a
+    score beyond double precision is infinite.
     """
-    spark = vectors.sparkSession
     v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
     fine = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("embedding", lambda e: e != 0)
     v = keep(v.filter(fine).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
-    n, asked = v.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-asked // QUERY_BLOCK))
+    asked = v.filter(F.col("vec_id") % every == 0).count()
+    blocks = max(1, -(-asked // QUERY_BLOCK))
     # Equal vectors: the least ids that one result can hold; Spark trims each group before it is shuffled.
     least = v.withColumn("n", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
     nodes = least.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("vec_ids"))
-    shard = F.size("embedding").cast("long") * shards + F.pmod(F.xxhash64("embedding"), F.lit(shards))
-    index = keep(nodes.withColumn("shard", shard).groupBy("shard").applyInArrow(_index, "shard long, entry int, vectors binary, graph binary, vec_ids array<array<long>>"))
-    queries = v.filter(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    # Every shard meets every block of queries, each pair as one group.
+    # Shards of a band of norms, as many as its vectors take; a shard is (width, band, number in the band).
+    nodes = nodes.select("embedding", "vec_ids", F.size("embedding").alias("width"), band(F.col("embedding")).alias("band"))
+    sizes = nodes.groupBy("width", "band").agg(F.ceil(F.count("*") / SHARD).alias("shards"))
+    shard = (F.col("band").cast("long") + (1 << 20)) * (1 << 40) + F.pmod(F.xxhash64("embedding"), F.col("shards"))
+    dealt = nodes.join(sizes, ["width", "band"]).withColumn("shard", shard)
+    index = keep(dealt.groupBy("width", "shard").applyInArrow(_index, "width int, shard long, entry int, vectors binary, graph binary, vec_ids array<array<long>>"))
+    queries = v.filter(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("width", F.size("embedding"))
+    # Every shard meets every block of queries of its width, each pair as one group.
     left = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    right = queries.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).withColumn("shard", F.size("embedding").cast("long") * shards + F.col("i")).select("shard", "block", "vec_id", "embedding")
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(lambda a, b: _search(a, b, k, beam), "query_id long, vec_id long, score double")
+    named = index.select(F.col("width").alias("w"), F.col("shard").alias("s"))
+    right = queries.join(named, F.col("width") == F.col("w")).select("width", F.col("s").alias("shard"), "block", "vec_id", "embedding")
+    by = ["width", "shard", "block"]
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(lambda a, b: _search(a, b, k, beam), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
