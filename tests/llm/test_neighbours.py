@@ -44,6 +44,27 @@ def test_nearest(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_recall_at_any_norm(spark):
+    """Normal and log-normal norms, an outlier among unit vectors, components beyond single precision, a sole huge pair."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 24))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    outlier = unit.copy()
+    outlier[7] *= 1e4
+    for v in (x, unit * np.exp(rng.normal(size=(1500, 1)) * 0.5), outlier, unit * 1e20, unit * 1e-25, np.concatenate([unit[:1400], unit[1400:] * 1e200])):
+        rows = [(i, v[i].tolist()) for i in range(len(v))]
+        got = {}
+        for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+            got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+        asked = np.arange(0, len(v), 20)
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = v[asked] @ (v / np.abs(v).max()).T
+        score[np.arange(len(asked)), asked] = -np.inf
+        hit = sum(len(set(np.argsort(-s)[:20].tolist()) & set(got[q])) for q, s in zip(asked.tolist(), score))
+        assert all(len(got[q]) == 20 for q in asked.tolist())
+        assert hit >= 0.95 * 20 * len(asked)
+
+
 def test_recall_over_shards(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "SHARD", 150)
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")

@@ -168,16 +168,66 @@ def test_secrets(spark, docs, none):
     assert clean.columns == docs.columns and clean.count() == docs.count()
 
 
+def least_cost(value):
+    """Every segmentation at the module's own prices."""
+    low = value.lower()
+
+    def price(a, b):
+        part, run = value[a:b], low[a:b]
+        out = [sum(log10(secrets._pool(c)) for c in part)]
+        if secrets.SHORTEST <= len(part) <= secrets.LONGEST and (w := secrets.word_price(part, secrets.COMMON)) is not None:
+            out.append(w)
+        if secrets._DATE.fullmatch(part):
+            out.append(log10(365 * 120))
+        if len(part) >= 3 and len(set(part)) == 1:
+            out.append(log10(secrets._pool(part[0]) * len(part)))
+        if len(part) >= 3 and all(p in secrets._NEXT for p in zip(run, run[1:])):
+            out.append(log10(47 * len(part)) + log10(4) * sum(x == y for x, y in zip(run, run[2:])))
+        return min(out) + log10(2)
+
+    best = [0.0]
+    for e in range(1, len(value) + 1):
+        best.append(min(best[a] + price(a, e) for a in range(e)))
+    return best[-1]
+
+
 def test_guess_costs_are_least():
-    cost = lambda v: secrets.guess_cost(v)[0]
-    assert cost("password") < cost("passwordq") < cost("pq$7Lx!9v")
-    assert cost("qwertyuiop") < cost("qmwnebrvtc")
-    assert cost("aaaaaaaaaa") < cost("abcqmwzyxk")
-    assert cost("2019-03-04") < cost("9201-43-90")
-    for v in ("hunter2019-03-04qwerty", "x", "Tr0ub4dor&3"):
-        parts = secrets.guess_cost(v)[1]
-        assert "".join(v[a:b] for _, a, b in parts) == v
+    import random
+
+    rng = random.Random(4)
+    parts = [lambda: rng.choice(secrets.WORDS), lambda: rng.choice(secrets.WORDS).title(), lambda: rng.choice("adnsz9!") * rng.randint(1, 7), lambda: rng.choice(["2019-03-04", "1999", "20120131", "3/4/2011"]), lambda: rng.choice(["qwerty", "asdfdsa", "poiuytre", "1234"]), lambda: "".join(rng.choices("abzQ7$9", k=rng.randint(1, 4)))]
+    for _ in range(3000):
+        v = "".join(rng.choice(parts)() for _ in range(rng.randint(1, 4)))
+        cost, found = secrets.guess_cost(v)
+        assert isclose(cost, least_cost(v), abs_tol=1e-9), v
+        assert "".join(v[a:b] for _, a, b in found) == v
     assert secrets.guess_cost("z" * 20_000)[0] < 10
+    assert secrets.guess_cost("") == (0.0, [])
+
+
+def test_many_contexts_take_time_in_proportion():
+    text = "password: abcdefgh1 token=zzzzzzzzzz pwd: x9$Kq2!vLpQ7z, " * 3000
+    assert len(secrets.scan(text)) == 9000
+
+
+def test_words_are_ranked_over_all_texts(spark, none):
+    df = spark.createDataFrame([("Zebra zebra, quagga ab xy",), ("zebra QUAGGA okapi password",), (None,), ("",)], "text string")
+    ranks = secrets.ranked_words(df, 3)
+    n = len(secrets.COMMON)
+    assert [ranks[w] for w in ("zebra", "quagga", "okapi")] == [n + 1, n + 2, n + 3] and "ab" not in ranks
+    assert ranks["password"] == 1 and secrets.ranked_words(none) == secrets.COMMON
+    assert secrets.guess_cost("zebraquagga", ranks)[0] < secrets.guess_cost("zebraquagga")[0]
+
+
+def base_pii(t):
+    """The base kinds by their plain expressions."""
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        if 13 <= len(d) <= 19 and sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(d[::-1])) % 10 == 0:
+            out.append(("card", m.start(), m.end()))
+    return out + [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
 
 
 def test_pii(spark, docs, none):
@@ -192,6 +242,9 @@ def test_pii(spark, docs, none):
     assert found[5] == [("ssn", 4, 15)]
     assert found[6] == [("email", 0, 20_005)]
     assert found[7] == found[8] == found[9] == []
+    texts = ["".join(np.random.default_rng(k).choice(list("a1.@+-( )4 :é"), 60)) for k in range(2000)] + [r[1] or "" for r in rows_of(docs)]
+    for t in texts:
+        assert [(k, a, b) for k, a, b, _ in pii.scan(t) if k in pii.BASE] == base_pii(t)
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     assert pii.personal_data(docs).count() == docs.count() and pii.personal_data(none).count() == 0
 
@@ -215,7 +268,8 @@ def test_encoder_gives_the_librarys_ids():
 
 def test_token_file(docs, none):
     path, lib = library()
-    rows = sorted(rows_of(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    hashed = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    rows = sorted(rows_of(docs), key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]]))
     want, at = Counter(), 0
     for d, t in rows:
         ids = [*lib.encode(t or "", add_special_tokens=False).ids, 0]
@@ -224,6 +278,21 @@ def test_token_file(docs, none):
     got = Counter((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokenfile.read(tokenfile.write(docs, path)).collect())
     assert got == want
     assert tokenfile.read(tokenfile.write(none, path)).count() == 0
+    some = docs.filter("doc_id in (4, 7, 53, 60)").select("doc_id")
+    read = Counter((r["doc_id"], tuple(r["ids"])) for r in tokenfile.read_documents(tokenfile.write(docs, path), some).collect())
+    assert read == Counter((d, (*lib.encode(t or "", add_special_tokens=False).ids, 0)) for d, t in rows if d in (4, 7, 53, 60))
+
+
+def test_ids_take_less_than_16_bits():
+    """On the given texts, and a document is read through the index alone."""
+    import pyarrow.parquet as pq
+
+    path, _ = library()
+    ids, at = bpe.encoder(path).encode(pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist())
+    data = tokenfile.write_segment(list(range(len(at) - 1)), at[:-1], ids)
+    assert len(data) < 2 * len(ids)
+    segment = tokenfile.Segment(data)
+    assert all((segment.document(k) == ids[at[k] : at[k + 1]]).all() for k in range(0, len(at) - 1, 7))
 
 
 def test_blocks_round_trip():
@@ -296,7 +365,7 @@ def test_decontamination(spark, docs, none):
         for i, x in items:
             x = (x or "").split()
             n = min(13, len(x))
-            if len(x) >= 5 and any(sum(p != q for p, q in zip(w[a : a + n], x[b : b + n])) <= (2 if n == 13 else 0) for a in range(len(w) - n + 1) for b in range(len(x) - n + 1)):
+            if (len(x) >= 5 or (x and w == x)) and any(sum(p != q for p, q in zip(w[a : a + n], x[b : b + n])) <= (2 if n == 13 else 0) for a in range(len(w) - n + 1) for b in range(len(x) - n + 1)):
                 want.add((d, i))
     df = spark.createDataFrame([(*r, "x") for r in texts], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, doc_id string")
@@ -306,6 +375,47 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.without_contaminated(docs, bench).columns == docs.columns
 
 
+def test_repetitive_texts_take_bounded_memory():
+    """A long text of one or two words against long items of the same."""
+    for unit in ("word ", "aa bb "):
+        seeds = decontaminate.Seeds([(0, unit * (10_000 // len(unit))), (1, "x " + unit * (600 // len(unit)) + "y"), (2, "aa bb")])
+        found = {i: (n, s) for _, i, n, s in seeds.find([(unit * (100_000 // len(unit))).encode()])}
+        assert found[0] == (len(unit.split()) * (10_000 // len(unit)), 0) and found[1][1] == 2 and 2 not in found
+    assert decontaminate.Seeds([(2, "aa bb")]).find([b"Aa, bb!", b"aa bb cc"]) == [(0, 0, 2, 0)]
+
+
+def test_best_alignments(monkeypatch):
+    """Overlaps and substitutions against all shifts, with few and with many words, by windows and by whole ranges."""
+    import random
+
+    rng = random.Random(2)
+    for trial in range(60):
+        monkeypatch.setattr(decontaminate, "_PAIRS", rng.choice([5, 1 << 20]))
+        vocabulary = [f"v{i}" for i in range(rng.choice([1, 2, 3, 30]))]
+        items = [" ".join(rng.choices(vocabulary, k=k)) for k in (1, 3, 4, 6, 12, 13, 20, 30)]
+        texts = []
+        for _ in range(8):
+            w, x = rng.choices(vocabulary, k=rng.randint(0, 20)), rng.choice(items).split()
+            for _ in range(rng.randint(0, 4)):
+                x[rng.randrange(len(x))] = rng.choice([*vocabulary, "zz"])
+            texts.append(" ".join(rng.choice([w + x + w, x, w, x * 3])))
+        want = []
+        for t, text in enumerate(texts):
+            for i, x in enumerate(items):
+                w, x = text.split(), x.split()
+                n, best = min(13, len(x)), (0, 0)
+                for shift in range(-len(x), len(w) + 1):
+                    differ = [w[p] != x[p - shift] for p in range(max(0, shift), min(len(w), shift + len(x)))]
+                    cover = [False] * len(differ)
+                    for a in range(len(differ) - n + 1):
+                        if sum(differ[a : a + n]) <= (2 if n == 13 else 0):
+                            cover[a : a + n] = [True] * n
+                    best = max(best, (sum(cover), -sum(c and d for c, d in zip(cover, differ))))
+                if best[0] and (len(x) >= 5 or w == x):
+                    want.append((t, i, best[0], -best[1]))
+        assert decontaminate.Seeds(list(enumerate(items))).find([t.encode() for t in texts]) == want
+
+
 def test_decontamination_in_passes(spark, monkeypatch):
     bench = spark.createDataFrame([(i, " ".join(f"x{i}y{j}" for j in range(20))) for i in range(20)], "item_id long, text string")
     docs = bench.select(F.col("item_id").alias("doc_id"), "text")
