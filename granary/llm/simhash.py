@@ -2,8 +2,9 @@
 
 A fingerprint of 64 bits maps to 32 counts, one for each segment of two bits.  The Manhattan
 distance of counts is at most the Hamming distance of fingerprints, so fingerprints within d
-bits differ in at most d of d + 4 blocks of segments, and agree in the counts of some four
-blocks: the cells of the grid.  Cells hold distinct fingerprints only, so copies never meet as
+bits differ in at most d of d + k blocks of segments, and agree in the counts of some k
+blocks: the cells of the grid.  k is 4, or more where fingerprints are so many that cells of four
+blocks would be crowded; links are the same for any.  Cells hold distinct fingerprints only, so copies never meet as
 pairs, and a crowded cell yields the edges of a spanning forest, not its pairs.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
+from math import comb
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ from granary.llm.components import connected_components
 
 SEED = 42
 _LOW = 0x5555555555555555
+#: Fingerprints of a cell that are searched at once; more are split by their bits first.
+CROWD = 4096
 
 
 def fingerprint(hashes) -> int:
@@ -57,16 +61,47 @@ def fingerprints(docs: DataFrame, n: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda b: _fingerprints(b, n), "doc_id long, fp long")
 
 
-def _masks(distance: int) -> list[int]:
-    """Masks over the packed counts, each of four of distance + 4 blocks of segments, as signed integers."""
-    blocks = distance + 4
+def kept_blocks(n: int, distance: int) -> int:
+    """How many blocks a cell keeps: what makes rows and comparisons of n fingerprints least together."""
+
+    def cost(k: int) -> float:
+        # Two counts agree with probability 3/8; a comparison takes a tenth of what a row does.
+        return comb(distance + k, k) * (1 + 0.1 * n * 0.375 ** (32 * k / (distance + k)))
+
+    return min(range(4, 13), key=cost)
+
+
+def _masks(distance: int, kept: int) -> list[int]:
+    """Masks over the packed counts, each of some of distance + kept blocks of segments, as signed integers."""
+    blocks = distance + kept
     cuts = [round(32 * i / blocks) for i in range(blocks + 1)]
     own = [sum(3 << (2 * s) for s in range(a, b)) for a, b in zip(cuts, cuts[1:])]
-    masks = [sum(c) for c in combinations(own, 4)]
+    masks = [sum(c) for c in combinations(own, kept)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
 def forest(fps, distance: int):
+    """Edges that connect all fingerprints which those within a distance connect.
+
+    Of more than CROWD, those that are near agree in one of distance + 1 stretches of their bits:
+    each stretch's groups are searched by themselves.
+    """
+    import numpy as np
+
+    if len(fps) <= CROWD:
+        return _search(fps, distance)
+    edges: list = []
+    cuts = [round(64 * i / (distance + 1)) for i in range(distance + 2)]
+    for a, b in zip(cuts, cuts[1:]):
+        part = (fps >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
+        order = np.argsort(part, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            if len(own) > 1:
+                edges += _search(fps[own], distance)
+    return edges
+
+
+def _search(fps, distance: int):
     """Edges of a spanning forest of the graph of fingerprints within a distance.
 
     A search from each fingerprint meets only those not reached yet, block by block; a dense
@@ -152,7 +187,7 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     # Of each two bits, both set count two and either one: bit operations, which never overflow.
     odd, even = F.shiftrightunsigned("fp", 1).bitwiseAND(F.lit(_LOW)), F.col("fp").bitwiseAND(F.lit(_LOW))
     counts = F.shiftleft(odd.bitwiseAND(even), 1).bitwiseOR(odd.bitwiseXOR(even))
-    cells = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("counts").bitwiseAND(F.lit(m))) for i, m in enumerate(_masks(distance))]))
+    cells = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("counts").bitwiseAND(F.lit(m))) for i, m in enumerate(_masks(distance, kept_blocks(fps.count(), distance)))]))
     grid = fps.withColumn("counts", counts).select(cells.alias("cell"), "fp")
     dealt = grid.repartition(partitions(spark), "cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(lambda b: _cells(b, distance), "a long, b long").distinct()
