@@ -3,7 +3,9 @@
 Trusted positives and unlabelled web text fit a logistic model on the shape of texts, so as to
 minimise  prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)):  where the second
 part would turn negative, which means that the model fits noise, a step is taken against it.
-The class prior is estimated from a sample by how many unlabelled texts look positive.
+The class prior is estimated from the same two samples by how many unlabelled texts look positive
+to models that have not seen them.  Labelled negatives have no part in anything: with the prior
+right, the risk itself sets the scale of scores.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ NAMES = [
     *(f"mark_{c:02x}" for c in _MARKS), "mark_end", "mark_alone", "vowel", "long_words",
 ]
 BINS = 12
-#: Labelled and unlabelled rows that the model is fitted on, at most.
-MAX_ROWS = 20_000
+#: Trusted positives that the model is fitted on, at most, and unlabelled rows, at most.
+MAX_POSITIVE, MAX_UNLABELLED = 20_000, 20_000
 EPOCHS, RATE, DECAY, SEED = 300, 0.05, 1e-3, 11
+#: Parts that the prior is estimated on, each by a model of the others, and how those are fitted.
+FOLDS, PRIOR_EPOCHS, PRIOR_DECAY = 3, 200, 1e-2
 
 
 def features(texts: list[bytes]):
@@ -86,8 +90,8 @@ def features(texts: list[bytes]):
 class Model:
     """A logistic model over bins of each feature."""
 
-    def __init__(self, cuts, weights, bias: float):
-        self.cuts, self.weights, self.bias = cuts, weights, bias
+    def __init__(self, cuts, weights, bias: float, fitted: bool = True):
+        self.cuts, self.weights, self.bias, self.fitted = cuts, weights, bias, fitted
 
     @staticmethod
     def bins(x):
@@ -125,7 +129,7 @@ def estimate_prior(positive, unlabelled) -> float:
     return float(np.clip(min(bounds), 0.05, 0.99))
 
 
-def _train(cp, cu, width: int, prior: float, risk: str, epochs: int):
+def _train(cp, cu, width: int, prior: float, risk: str, epochs: int, decay: float = DECAY):
     """Full-batch Adam; risk: the non-negative one, or plain positives against unlabelled."""
     import numpy as np
 
@@ -146,55 +150,34 @@ def _train(cp, cu, width: int, prior: float, risk: str, epochs: int):
             minus = grad(cu, su / len(su)) - grad(cp, prior * sp / len(sp))
             negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
             g = plus + minus if negative >= 0 else -minus
-        g[:-1] += DECAY * w
+        g[:-1] += decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
     return w, b
 
 
-def _calibrate(margins, labels) -> tuple[float, float]:
-    """Slope and shift of margins that make scores the labels' likeliest; (1, 0) without both labels."""
-    import numpy as np
+def fit(positive, unlabelled, of_positive, of_unlabelled) -> tuple[Model, float]:
+    """Feature rows of trusted positives and of unlabelled texts, and a number of each row's text -> (model, class prior).
 
-    if len(set(labels.tolist())) < 2:
-        return 1.0, 0.0
-    a, c = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * margins + c, -30, 30)))
-        g = np.array([((p - labels) * margins).sum() + (a - 1), (p - labels).sum()])
-        r = p * (1 - p)
-        h = np.array([[(r * margins**2).sum() + 1, (r * margins).sum()], [(r * margins).sum(), r.sum() + 1e-3]])
-        step = np.linalg.solve(h, g)
-        a, c = max(0.1, a - step[0]), c - step[1]
-        if np.abs(step).max() < 1e-6:
-            break
-    return float(a), float(c)
-
-
-def fit(labelled, labels, unlabelled) -> tuple[Model, float]:
-    """Feature rows of labelled and of unlabelled texts -> (model, class prior).
-
-    Negatives among the labelled have no part in the risk; with the positives they set the
-    scale of scores.  Without positives all texts score one half.
+    Rows of one text have one number, so that no text is on both sides of a fold.  With fewer
+    than two rows of either kind nothing is fitted: all texts score one half.
     """
     import numpy as np
 
-    positive = labelled[labels == 1]
     if len(positive) < 2 or len(unlabelled) < 2:
-        return Model([np.empty(0)] * len(NAMES), np.zeros(len(NAMES)), 0.0), 0.5
+        return Model([np.empty(0)] * len(NAMES), np.zeros(len(NAMES)), 0.0, fitted=False), 0.5
     cuts = Model.bins(np.concatenate([positive, unlabelled]))
     (cp, width), (cu, _) = Model.codes(positive, cuts), Model.codes(unlabelled, cuts)
-    # Scores for the prior come from a model that has not seen the rows: one half each way.
+    fp, fu = of_positive % FOLDS, of_unlabelled % FOLDS
     priors = []
-    for half in (0, 1):
-        w, b = _train(cp[half::2], cu[half::2], width, 0.5, "plain", EPOCHS // 4)
-        priors.append(estimate_prior(w[cp[1 - half :: 2]].sum(axis=1) + b, w[cu[1 - half :: 2]].sum(axis=1) + b))
-    # The bound is loose on few rows; the share among the labelled is another estimate.
-    prior = min(sum(priors) / 2, (len(positive) + 1) / (len(labels) + 2))
+    for k in range(FOLDS):
+        if min((fp == k).sum(), (fu == k).sum(), (fp != k).sum(), (fu != k).sum()):
+            w, b = _train(cp[fp != k], cu[fu != k], width, 0.5, "plain", PRIOR_EPOCHS, PRIOR_DECAY)
+            priors.append(estimate_prior(w[cp[fp == k]].sum(axis=1) + b, w[cu[fu == k]].sum(axis=1) + b))
+    prior = sum(priors) / len(priors) if priors else 0.5
     w, b = _train(cp, cu, width, prior, "pu", EPOCHS)
-    a, c = _calibrate(Model(cuts, w, b).margin(labelled), labels)
-    return Model(cuts, a * w, a * b + c), prior
+    return Model(cuts, w, b), prior
 
 
 def held_out(doc_id: Column) -> Column:
@@ -211,31 +194,32 @@ def _features(batches: Iterator) -> Iterator:
             yield pa.RecordBatch.from_arrays([part.column("quality"), part.column("h"), pa.array([r.tobytes() for r in x], pa.binary())], ["quality", "h", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> Model:
-    """A model from at most `most` labelled and `most` other rows of docs, none of them held out.
+def train(docs: DataFrame, labels: DataFrame, most: int = MAX_POSITIVE, unlabelled: int = MAX_UNLABELLED) -> Model:
+    """A model from at most `most` rows of docs that are labelled 1 and `unlabelled` rows of any kind, none held out.
 
     Both samples are those with the least hashes of their ids, so they are the same in every
-    run.  Labels that are null or neither 0 nor 1 are ignored; of several for one id the least counts.
+    run.  Labels that are null or neither 0 nor 1 are ignored; of several for one id the least
+    counts.  Null texts count as empty, null ids have no label, repeated rows count as often as
+    they come; empty tables give a model that is not fitted and scores one half throughout.
     """
     import numpy as np
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter(~held_out(F.col("doc_id")))
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
-    known = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    known = known.filter(~held_out(F.col("doc_id")) & (F.col("quality") == 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     hashed = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(SEED))
     # At most `most` rows: small enough to send everywhere.
     marked = docs.join(F.broadcast(known), "doc_id").withColumn("h", hashed)
     n = docs.count()
-    share = min(1.0, 1.2 * most / max(n, 1))
+    share = min(1.0, 1.2 * unlabelled / max(n, 1))
     others = docs.withColumn("h", hashed).filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).withColumn("quality", F.lit(None).cast("int"))
 
-    def rows(df):
+    def rows(df, most):
         found = df.select("quality", "h", "text").mapInArrow(_features, "quality int, h long, x binary").orderBy("h", "x").limit(most).collect()
-        x = np.frombuffer(b"".join(bytes(r["x"]) for r in found), dtype=np.float64).reshape(len(found), len(NAMES))
-        return x, np.array([-1 if r["quality"] is None else r["quality"] for r in found])
+        return np.frombuffer(b"".join(bytes(r["x"]) for r in found), dtype=np.float64).reshape(len(found), len(NAMES)), np.array([r["h"] for r in found], dtype=np.int64)
 
-    x, y = rows(marked)
-    return fit(x, y, rows(others)[0])[0]
+    (x, hx), (u, hu) = rows(marked, most), rows(others, unlabelled)
+    return fit(x, u, hx, hu)[0]
 
 
 def _scores(batches: Iterator, model: Model) -> Iterator:
@@ -265,7 +249,13 @@ def _good(batches: Iterator, model: Model, least: float) -> Iterator:
 
 
 def without_rejected(docs: DataFrame, model: Model, least: float = 0.7) -> DataFrame:
-    """The rows of docs, with all their columns, that score `least` or more."""
+    """The rows of docs, with all their columns, that score `least` or more; all of them if the model is not fitted.
+
+    Null and empty texts are scored like any; null ids and repeated rows are kept or go by their
+    text alone; an empty table gives an empty result; further columns are kept, whatever their names.
+    """
+    if not model.fitted:
+        return docs
     return docs.mapInArrow(lambda b: _good(b, model, least), docs.schema)
 
 
