@@ -42,6 +42,32 @@ def test_repeats(docs, none):
     assert repeats.repeats(none).count() == 0
 
 
+def test_repeats_at_any_id(spark, monkeypatch):
+    """Extreme and uneven ids, texts alike in their first words, a passage that all share."""
+    import random
+
+    rng = random.Random(8)
+    ids = [-(2**63), -5, 0, *range(100, 160), 2**40, 2**62, 2**63 - 2, 2**63 - 1]
+    shared, opening = " ".join(rng.choices([f"s{i}" for i in range(99)], k=20)), "one two three four five six seven eight"
+    rows = [(d, f"{opening} {' '.join(rng.choices('abc', k=rng.randint(3, 30)))} {shared if i % 3 == 0 else ''}") for i, d in enumerate(ids)]
+    least = {}
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - 12):
+            least[tuple(w[i : i + 13])] = min(d, least.get(tuple(w[i : i + 13]), d))
+    want = {}
+    for d, t in rows:
+        w = t.split()
+        hit = [any(least[tuple(w[j : j + 13])] < d for j in range(max(0, i - 12), min(i + 1, len(w) - 12))) for i in range(len(w))]
+        want[d] = " ".join(x for x, h in zip(w, hit) if not h)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for size in (1 << 20, 300):
+        monkeypatch.setattr(repeats, "BATCH", size)
+        assert {r["doc_id"]: r["kept"] for r in repeats.repeats(docs).collect()} == want
+        monkeypatch.setattr(repeats, "QUANTILES", 4)
+        assert {r["doc_id"]: r["kept"] for r in repeats.repeats(docs).collect()} == want
+
+
 def test_prefixes_are_cut_longer_where_frequent():
     cuts = repeats.prefixes({1: 10, 2: 10, 3: 1000, 9: 5}, 100)
     assert cuts == sorted(set(cuts)) and cuts[0] == 0
@@ -119,7 +145,38 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_crowded_cells_lose_no_link(spark):
+def test_large_cells_are_split_without_loss(monkeypatch):
+    """Many fingerprints of one cell, few of them near others, and a dense group."""
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 1 << 63, 1500, dtype=np.uint64) & np.uint64(0xFFFFFFFFFFFFFF00)
+    near = [int(f) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 7), replace=False)) for f in fps[:400]]
+    dense = [int(fps[0]) ^ (1 << int(b)) ^ (1 << int(c)) for b in range(0, 60, 2) for c in range(1, 60, 3)]
+    fps = np.unique(np.concatenate([fps, np.array(near + dense, dtype=np.uint64)]))
+
+    def roots(edges):
+        root = {int(f): int(f) for f in fps}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            a, b = find(int(a)), find(int(b))
+            root[max(a, b)] = min(a, b)
+        return {x: find(x) for x in root}
+
+    want = roots(simhash.forest(fps, 4))
+    monkeypatch.setattr(simhash, "CROWD", 50)
+    got = simhash.forest(fps, 4)
+    assert all((int(a) ^ int(b)).bit_count() <= 4 for a, b in got) and roots(got) == want
+
+
+def test_more_blocks_where_there_are_more_fingerprints():
+    assert simhash.kept_blocks(10**5, 4) == 4 < simhash.kept_blocks(10**10, 4)
+
+
+def test_crowded_cells_lose_no_link(spark, monkeypatch):
     rng = np.random.default_rng(5)
     fps = {int(x) for x in rng.integers(0, 1 << 63, 200)}
     for center in list(fps)[:3]:
@@ -143,9 +200,11 @@ def test_crowded_cells_lose_no_link(spark):
     from granary.llm.components import connected_components
 
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    got = {r["node"]: r["component"] for r in connected_components(simhash.links(df)).collect()}
-    for f in fps:
-        assert got.get(f, f) == find(f)
+    for blocks in (4, 5):
+        monkeypatch.setattr(simhash, "kept_blocks", lambda n, distance, blocks=blocks: blocks)
+        got = {r["node"]: r["component"] for r in connected_components(simhash.links(df)).collect()}
+        for f in fps:
+            assert got.get(f, f) == find(f)
 
 
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -430,12 +489,31 @@ def test_quality(spark, docs, none):
     model = quality.train(d, labels)
     scored = {r["doc_id"]: r["score"] for r in quality.score_documents(d, model).collect()}
     held = [(scored[r["doc_id"]], r["quality"]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
-    assert sum((s >= 0.7) == (q == 1) for s, q in held) / len(held) > 0.95
+    # 266 positives leave the prior loose, so here the order of scores counts; the threshold on ten times as many.
+    good, bad = ([s for s, q in held if q == k] for k in (1, 0))
+    assert sum(g > b for g in good for b in bad) / len(good) / len(bad) > 0.98
+    assert sum(s >= 0.7 for s in good) / len(good) > 0.98
     again = quality.score_documents(docs, model).collect()
     assert len(again) == docs.count() and all(0 <= r["score"] <= 1 for r in again)
     assert quality.without_rejected(docs, model).columns == docs.columns
     assert quality.score_documents(none, quality.train(none, labels.limit(0))).count() == 0
-    assert {r["score"] for r in quality.score_documents(docs, quality.train(docs, labels.limit(0))).collect()} == {0.5}
+    empty = quality.train(docs, labels.limit(0))
+    assert {r["score"] for r in quality.score_documents(docs, empty).collect()} == {0.5}
+    assert quality.without_rejected(docs, empty).count() == docs.count()  # nothing was learned: nothing goes
+
+
+def test_held_out_accuracy(spark):
+    path = "/root/testdata/sf0.1"
+    d, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    scored = quality.score_documents(d, quality.train(d, labels)).join(labels, "doc_id").filter(quality.held_out(F.col("doc_id"))).collect()
+    assert len(scored) > 900 and sum((r["score"] >= 0.7) == (r["quality"] == 1) for r in scored) / len(scored) > 0.98
+
+
+def test_labelled_negatives_change_nothing(spark):
+    path = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    a, b = quality.train(d, labels), quality.train(d, labels.filter("quality = 1"))
+    assert np.array_equal(a.weights, b.weights) and a.bias == b.bias
 
 
 def test_labels_of_held_out_rows_are_not_learned(spark):
