@@ -19,6 +19,11 @@ def big_int_mod(c: Column, p: int) -> Column:
     return F.aggregate(digits, F.lit(0).cast("bigint"), lambda a, d: (a * 16 + F.coalesce(d, F.lit(0))) % F.lit(p))
 
 
+def chunk_of(number: Column, chunks: int, seed: int = 11) -> Column:
+    """One of so many chunks by a hash of a whole number (0 up to 2**31) that plain arithmetic can follow."""
+    return F.pmod((number * 48_271 + seed) % 2_147_483_647, F.lit(chunks))
+
+
 def universal_hash(x: Column, a: int, b: int, p: int, m: Column | int) -> Column:
     """((a x + b) mod p) mod m."""
     return (x * F.lit(a) + F.lit(b)) % F.lit(p) % (F.lit(m) if isinstance(m, int) else m)

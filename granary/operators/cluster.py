@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.columns import mahalanobis
+from granary.functions.columns import chunk_of, mahalanobis
 from granary.plans.lineage import keep
 
 Summary = tuple[int, list[float], list[float]]
@@ -93,7 +93,7 @@ def by_chunks(points: DataFrame, k: int, chunks: int = 5, seed: int = 11) -> tup
     """
     d = len(points.select("features").first()[0])
     threshold = 2 * d**0.5
-    dealt = keep(points.select("id", "features", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(chunks)).alias("chunk")))
+    dealt = keep(points.select("id", "features", chunk_of(F.col("id"), chunks, seed).alias("chunk")))
     one = dealt.filter("chunk = 0")
     # First chunk: lone clusters of many stay aside, the rest gives the main clusters.
     many = keep(kmeans(one, min(5 * k, max(1, one.count())), seed))

@@ -55,9 +55,9 @@ def dealt_by(df: DataFrame, n: int, place: Column) -> DataFrame:
     return df.repartitionById(n, place.cast("int"))
 
 
-def partition_sizes(df: DataFrame) -> DataFrame:
-    """Rows in each partition that has any."""
-    return df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("n"))
+def partition_sizes(df: DataFrame, key: str) -> DataFrame:
+    """Rows and distinct keys in each partition that has any."""
+    return df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("n"), F.countDistinct(key).alias("n_keys"))
 
 
 def partition_study(df: DataFrame, key: str, n: int, place: Column) -> dict:
@@ -66,6 +66,6 @@ def partition_study(df: DataFrame, key: str, n: int, place: Column) -> dict:
     for name, dealt in (("default", df.repartition(n, key)), ("customized", dealt_by(df, n, place))):
         t = time.time()
         dealt.groupBy(key).count().orderBy(F.desc("count"), key).limit(10).collect()
-        sizes = [r["n"] for r in partition_sizes(dealt).orderBy("partition").collect()]
+        sizes = [r["n_keys"] for r in partition_sizes(dealt, key).orderBy("partition").collect()]
         out[name] = {"n_partition": n, "n_items": sizes, "exe_time": time.time() - t}
     return out

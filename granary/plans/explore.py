@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions.columns import char_sum
+from granary.functions.columns import char_sum, chunk_of
 from granary.operators import explore
 from granary.sources.tables import table
 
@@ -46,14 +46,27 @@ def top10_group_avg_on_driver(spark, sf):
     return explore.top_groups_on_driver(_averages(spark, sf), "n_name").select("n_name", F.round("average", 6).alias("average"), "n")
 
 
+def _priorities(spark, sf):
+    return table(spark, sf, "orders").select("o_orderpriority")
+
+
 def partition_sizes_custom(spark, sf):
-    orders = table(spark, sf, "orders").select("o_orderpriority")
-    return explore.partition_sizes(explore.dealt_by(orders, 7, char_sum(F.col("o_orderpriority"), 7)))
+    return explore.partition_sizes(explore.dealt_by(_priorities(spark, sf), 7, char_sum(F.col("o_orderpriority"), 7)), "o_orderpriority")
 
 
 def partition_sizes_default(spark, sf):
-    orders = table(spark, sf, "orders").select("o_orderpriority")
-    return explore.partition_sizes(orders.repartition(7, "o_orderpriority"))
+    return explore.partition_sizes(_priorities(spark, sf).repartition(7, "o_orderpriority"), "o_orderpriority")
+
+
+def partition_study(spark, sf):
+    """Both ways to deal out rows by key, without their times: partitions, and that all keys are in them once."""
+    found = explore.partition_study(_priorities(spark, sf), "o_orderpriority", 7, char_sum(F.col("o_orderpriority"), 7))
+    return spark.createDataFrame([(k, v["n_partition"], sum(v["n_items"])) for k, v in found.items()], "name string, n_partition int, n_keys long")
+
+
+def sort_study(spark, sf):
+    """Both ways to sort, without their times: whether they agree."""
+    return spark.createDataFrame([(explore.sort_study(_averages(spark, sf), "n_name")["same"],)], "same boolean")
 
 
 def json_extract(spark, sf):
@@ -102,8 +115,8 @@ def city_lines(spark, sf):
 
 
 def chunk_sizes(spark, sf):
-    """Five chunks of points by a hash of their id that SQL can follow."""
-    return table(spark, sf, "embeddings").groupBy(((F.col("vec_id") * 48_271 + 11) % 2_147_483_647 % 5).alias("chunk")).agg(F.count("*").alias("n"))
+    """The five chunks in which points are clustered."""
+    return table(spark, sf, "embeddings").groupBy(chunk_of(F.col("vec_id"), 5).alias("chunk")).agg(F.count("*").alias("n"))
 
 
 def report_json(spark, sf):
@@ -122,7 +135,7 @@ _AVG = """
 _TOP = f"SELECT n_name, round(average, 6) AS average, n FROM ({_AVG}) ORDER BY average DESC, n_name NULLS LAST LIMIT 10"
 _EK = "(SELECT *, json_extract_string(props, '$.k') AS k FROM events)"
 
-QUERIES = {f.__name__: f for f in (explore_counts, top10_user, top10_item, avg_by_group_left_join, top10_group_avg, top10_group_avg_on_driver, partition_sizes_custom, partition_sizes_default, json_extract, substring_filter, concat_key, dirty_cast, union_all_rows, set_intersection, set_difference, distinct_pairs, first_row, city_lines, chunk_sizes, report_json)}
+QUERIES = {f.__name__: f for f in (explore_counts, top10_user, top10_item, avg_by_group_left_join, top10_group_avg, top10_group_avg_on_driver, partition_sizes_custom, partition_sizes_default, partition_study, sort_study, json_extract, substring_filter, concat_key, dirty_cast, union_all_rows, set_intersection, set_difference, distinct_pairs, first_row, city_lines, chunk_sizes, report_json)}
 ORACLE = {
     "explore_counts": f"SELECT count(*) AS n_rows, count(*) FILTER (contains(ts::VARCHAR, '2024-01-1')) AS n_matching, count(DISTINCT user_id) AS n_users, count(DISTINCT k) AS n_items FROM {_EK}",
     "top10_user": "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10",
@@ -130,7 +143,9 @@ ORACLE = {
     "avg_by_group_left_join": f"SELECT n_name, round(average, 6) AS average, n FROM ({_AVG})",
     "top10_group_avg": _TOP,
     "top10_group_avg_on_driver": _TOP,
-    "partition_sizes_custom": "SELECT (list_sum(list_transform(string_split(o_orderpriority, ''), lambda c: ord(c))) % 7)::INT AS partition, count(*) AS n FROM orders GROUP BY 1",
+    "partition_sizes_custom": "SELECT (list_sum(list_transform(string_split(o_orderpriority, ''), lambda c: ord(c))) % 7)::INT AS partition, count(*) AS n, count(DISTINCT o_orderpriority) AS n_keys FROM orders GROUP BY 1",
+    "partition_study": "SELECT unnest(['default', 'customized']) AS name, 7::INT AS n_partition, count(DISTINCT o_orderpriority) AS n_keys FROM orders",
+    "sort_study": "SELECT TRUE AS same",
     "json_extract": "SELECT event_id, json_extract(props, '$.k')::INT AS k, 0 AS absent FROM events",
     "substring_filter": "SELECT event_id, user_id FROM events WHERE contains(ts::VARCHAR, '-01-05')",
     "concat_key": "SELECT event_id, concat_ws('-', ts::DATE::VARCHAR, user_id::VARCHAR) AS basket FROM events",

@@ -51,20 +51,36 @@ def per_batch(stream: DataFrame, summary: Callable[[DataFrame], DataFrame]) -> D
     return _results(stream.sparkSession, path)
 
 
+def _spans(n: int) -> list[tuple[int, int]]:
+    """The batches before n as stretches whose lengths are powers of two, the longest first."""
+    out, at = [], 0
+    for k in reversed(range(n.bit_length())):
+        if n >> k & 1:
+            out.append((at, at + (1 << k)))
+            at += 1 << k
+    return out
+
+
 def bloom(stream: DataFrame, bits: int, family: list[tuple[int, int, int]]) -> DataFrame:
     """Per batch, the rate of false positives of a filter that is carried over, as false_positive_rate has it.
 
-    State: ids known so far, and when each bit was set.
+    State: ids known so far, and when each bit was set.  Ids are in tables of 1, 2, 4, ... batches,
+    merged as a binary counter carries, so a batch reads few tables and an id is seldom written anew.
     """
     spark, path = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/{uuid.uuid4().hex}"
 
     def step(df: DataFrame, n: int) -> None:
         ids = sketch.firsts(df)
-        if n:
-            before = spark.read.parquet(*[f"{path}/known/{i}" for i in range(n)])
-            ids = ids.join(before.select("id"), "id", "left_anti")
-        ids.write.mode("overwrite").parquet(f"{path}/known/{n}")
-        ids = spark.read.parquet(f"{path}/known/{n}")
+        before = {(a, b): spark.read.parquet(f"{path}/known/{a}-{b}") for a, b in _spans(n)}
+        for known in before.values():
+            ids = ids.join(known.select("id"), "id", "left_anti")
+        ids.write.mode("overwrite").parquet(f"{path}/new/{n}")
+        ids = merged = spark.read.parquet(f"{path}/new/{n}")
+        first = _spans(n + 1)[-1][0]
+        for (a, _), known in before.items():
+            if a >= first:
+                merged = merged.unionByName(known)
+        merged.write.mode("overwrite").parquet(f"{path}/known/{first}-{n + 1}")
         set_at = sketch.bit_firsts(ids, bits, family)
         if n:
             set_at = set_at.unionByName(spark.read.parquet(f"{path}/bits/{n - 1}")).groupBy("bit").agg(F.min("seq").alias("seq"))
