@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.columns import chunk_of, mahalanobis
@@ -43,13 +43,29 @@ def distance(a: Summary, b: Summary) -> float:
     return total**0.5
 
 
-def nearest(found: dict, threshold: float) -> Column:
-    """The key of the nearest summary to `features` that is nearer than the threshold; of equal ones the least key."""
+def nearest(points: DataFrame, found: dict, threshold: float, name: str) -> DataFrame:
+    """points + the key (string) of the nearest summary to `features` that is nearer than the threshold; of equal ones the least key.
+
+    Summaries are one row that all tasks get, as many numbers as there are clusters and components;
+    the plan is the same for any number of them.
+    """
     if not found:
-        return F.lit(None).cast("string")
-    each = [F.struct(mahalanobis(F.col("features"), F.lit(float(n)), F.lit(t), F.lit(q)).alias("d"), F.lit(str(k)).alias("k")) for k, (n, t, q) in sorted(found.items(), key=lambda i: str(i[0]))]
-    best = F.array_min(F.array(*each))
-    return F.when(best["d"] < threshold, best["k"])
+        return points.withColumn(name, F.lit(None).cast("string"))
+    rows = sorted((str(k), float(n), [float(x) for x in t], [float(x) for x in q]) for k, (n, t, q) in found.items())
+    one = points.sparkSession.createDataFrame([(rows,)], "__all array<struct<k:string,n:double,t:array<double>,q:array<double>>>")
+    each = F.transform("__all", lambda c: F.struct(mahalanobis(F.col("features"), c["n"], c["t"], c["q"]).alias("d"), c["k"].alias("k")))
+    best = F.array_min(each)
+    joined = points.crossJoin(F.broadcast(one))  # one row
+    return joined.withColumn("__best", best).withColumn(name, F.when(F.col("__best.d") < threshold, F.col("__best.k"))).drop("__all", "__best")
+
+
+def renamed(members: DataFrame, names: dict[str, str], column: str) -> DataFrame:
+    """members + the new name of their key, null for a key that has none."""
+    if not names:
+        return members.withColumn(column, F.lit(None).cast("string"))
+    table = members.sparkSession.createDataFrame(sorted(names.items()), f"__from string, {column} string")
+    # At most a row for each cluster.
+    return members.join(F.broadcast(table), F.col("key") == F.col("__from"), "left").drop("__from")
 
 
 def kmeans(points: DataFrame, k: int, seed: int = 3, rounds: int = 20) -> DataFrame:
@@ -106,7 +122,7 @@ def by_chunks(points: DataFrame, k: int, chunks: int = 5, seed: int = 11) -> tup
     history = []
     for r in range(chunks):
         if r:
-            now = keep(dealt.filter(F.col("chunk") == r).withColumn("m", nearest(main, threshold)).withColumn("s", nearest(small, threshold)))
+            now = keep(nearest(nearest(dealt.filter(F.col("chunk") == r), main, threshold, "m"), small, threshold, "s"))
             joined = now.withColumn("kind", F.when(F.col("m").isNotNull(), "main").when(F.col("s").isNotNull(), "small")).withColumn("key", F.coalesce("m", "s"))
             for kind, found in (("main", main), ("small", small)):
                 for c, s in collected(joined.filter(F.col("kind") == kind), "key").items():
@@ -124,8 +140,7 @@ def by_chunks(points: DataFrame, k: int, chunks: int = 5, seed: int = 11) -> tup
         if r:
             small, became = merge_close(small, threshold)
             if became:
-                renamed = F.coalesce(F.create_map(*[F.lit(x) for pair in became.items() for x in pair])[F.col("key")], "key")
-                members = members.withColumn("key", F.when(F.col("kind") == "small", renamed).otherwise(F.col("key")))
+                members = renamed(members, became, "now").withColumn("key", F.when(F.col("kind") == "small", F.coalesce("now", "key")).otherwise(F.col("key"))).drop("now")
         members = keep(members)
         kinds = Counter({x["kind"]: x["count"] for x in members.groupBy("kind").count().collect()})
         history.append({"round": r + 1, "main_points": kinds["main"], "small_clusters": len(small), "small_points": kinds["small"], "kept_points": aside.count()})
@@ -134,6 +149,6 @@ def by_chunks(points: DataFrame, k: int, chunks: int = 5, seed: int = 11) -> tup
         near = min(((distance(m, s), x) for x, m in main.items()), default=(threshold, ""))
         if near[0] < threshold:
             last[c] = near[1]
-    to = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])[F.col("key")] if last else F.lit(None).cast("string")
-    final = members.select("id", F.when(F.col("kind") == "main", F.col("key")).otherwise(F.coalesce(to, F.lit("-1"))).cast("int").alias("cluster"))
+    named = renamed(members, last, "near")
+    final = named.select("id", F.when(F.col("kind") == "main", F.col("key")).otherwise(F.coalesce(F.when(F.col("kind") == "small", F.col("near")), F.lit("-1"))).cast("int").alias("cluster"))
     return final.unionByName(aside.select("id", F.lit(-1).alias("cluster"))), history

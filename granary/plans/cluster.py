@@ -19,7 +19,7 @@ def cluster_summary(spark, sf):
 def mahalanobis_assign(spark, sf):
     p = _points(spark, sf)
     found = ops.collected(p, "label")
-    return p.select("id", ops.nearest(found, 2 * 64**0.5).cast("int").alias("cluster"))
+    return ops.nearest(p, found, 2 * 64**0.5, "key").select("id", F.col("key").cast("int").alias("cluster"))
 
 
 def summary_merge_distance(spark, sf):

@@ -118,6 +118,96 @@ def test_betweenness_sums_to_distances(spark):
     assert total == pytest.approx(sum(r["d"] for r in graph.shortest_paths(edges).filter("s < v").collect()))
 
 
+def some_graphs():
+    rng = random.Random(3)
+    yield [(1, 2), (2, 3), (3, 4), (1, 4), (4, 5), (6, 7)]
+    for n, p in ((9, 0.3), (14, 0.2), (20, 0.15)):
+        yield [(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < p]
+
+
+def all_shortest(edges, s):
+    """Every shortest path from s, as lists of nodes."""
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    paths, front = {s: [[s]]}, [s]
+    while front:
+        new = {}
+        for u in front:
+            for v in near[u]:
+                if v not in paths:
+                    new.setdefault(v, []).extend([*p, v] for p in paths[u])
+        paths |= new
+        front = list(new)
+    return paths
+
+
+def test_betweenness_by_all_paths(spark):
+    for edges in some_graphs():
+        want = dict.fromkeys(edges, 0.0)
+        for s in {x for e in edges for x in e}:
+            for t, paths in all_shortest(edges, s).items():
+                for p in paths:
+                    for a, b in zip(p, p[1:]):
+                        want[min(a, b), max(a, b)] += 0.5 / len(paths)
+        for found in (graph.edge_betweenness(edges_of(spark, edges)), graph.joined_betweenness(edges_of(spark, edges))):
+            assert {(r["src"], r["dst"]): r["betweenness"] for r in found.collect()} == pytest.approx(want)
+
+
+def test_betweenness_in_tasks(spark, monkeypatch):
+    edges = edges_of(spark, list(some_graphs())[2])
+    want = sorted(graph.edge_betweenness(edges).collect())
+    monkeypatch.setattr(graph, "_LITTLE", 0)
+    got = sorted(graph.edge_betweenness(edges).collect())
+    assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want])
+    every = graph.nodes(edges)
+    assert sorted(graph.edge_betweenness(edges, every).collect())[0][2] == pytest.approx(want[0][2])
+
+
+def test_girvan_newman_to_the_end(spark, monkeypatch):
+    """In arrays and by joins: the same rounds, down to no edge."""
+    edges = edges_of(spark, [(1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (5, 6), (4, 6)])
+    for mode in ("textbook", "reference"):
+        best, history = graph.girvan_newman(edges, mode)
+        monkeypatch.setattr(graph, "HELD_EDGES", -1)
+        joined, again = graph.girvan_newman(edges, mode)
+        monkeypatch.undo()
+        assert sorted(best.collect()) == sorted(joined.collect())
+        assert [(h["round"], h["edges"], h["communities"], round(h["modularity"], 9)) for h in history] == [(h["round"], h["edges"], h["communities"], round(h["modularity"], 9)) for h in again]
+    best, history = graph.girvan_newman(edges)
+    assert history[-1]["edges"] == 0
+    assert sorted(tuple(r) for r in best.collect()) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4)]
+
+
+def test_near_sets(spark):
+    """Against all pairs, with equal sets, a word that all share and sets of one word."""
+    rng = random.Random(5)
+    sets = {}
+    for i in range(60):
+        base = {f"w{rng.randrange(40)}" for _ in range(rng.randint(1, 25))} | ({"all"} if i % 2 else set())
+        for j in range(rng.randint(1, 3)):
+            sets[10 * i + j] = frozenset(base - {min(base)} if j == 2 and len(base) > 1 else base)
+    long = spark.createDataFrame([(i, w) for i, s in sets.items() for w in s], "item long, member string")
+    for threshold in (0.5, 0.8):
+        pairs, classes = similarity.near_sets(long, threshold)
+        heads = {s: min(i for i in sets if sets[i] == s) for s in sets.values()}
+        assert {r["item"]: r["head"] for r in classes.collect()} == {i: heads[s] for i, s in sets.items()}
+        want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in heads.values() for b in heads.values() if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+        assert {(r["a"], r["b"]): r["similarity"] for r in pairs.collect()} == pytest.approx(want) and want
+
+
+def test_son_report(spark):
+    found = spark.createDataFrame([(["b"], 3), (["a"], 3), (["a", "b"], 3)], "items array<string>, n long")
+    assert itemsets.son_report(found, found.filter("size(items) = 1")).first()["document"] == "Candidates:\n('a'),('b')\n\n('a', 'b')\n\nFrequent Itemsets:\n('a'),('b')\n\n"
+
+
+def test_stretches_of_batches():
+    for n in range(40):
+        spans = replay._spans(n)
+        assert [x for a, b in spans for x in range(a, b)] == list(range(n)) and len(spans) == n.bit_count()
+
+
 def test_girvan_newman_modes(spark):
     one = edges_of(spark, [(1, 2)])
     best, history = graph.girvan_newman(one)
