@@ -18,9 +18,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import BATCH_BYTES, partitions, pieces, table
+from granary.llm.common import partitions, pieces, table
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
+#: Bytes of text in a batch: the more, the fewer n-grams are sent more than once.
+BATCH = 8 << 20
 #: N-grams, as batches send them, that a part of the count tables should hold.
 PART = 1 << 22
 
@@ -32,9 +34,9 @@ def _gather(batches: Iterator) -> Iterator:
     from pyspark import TaskContext
 
     base, seq = TaskContext.get().partitionId() << 32, 0
-    squeeze = zstandard.ZstdCompressor(level=3)
+    squeeze = zstandard.ZstdCompressor(level=6)
     for batch in batches:
-        for part in pieces(batch, "text", BATCH_BYTES):
+        for part in pieces(batch, "text", BATCH):
             texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
             lens = np.fromiter(map(len, texts), dtype="<i8", count=len(texts))
             data = squeeze.compress(lens.tobytes() + b"".join(texts))
@@ -136,12 +138,21 @@ def _score(docs, totals, order: int, alpha: float, min_count: int, all_words: in
         return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "log10_score": pa.array([], pa.float64())})
     doc_ids = docs.column("doc_ids")[0].as_py()
     keys, places, firsts = _grams(_texts(docs.column("data")[0].as_py(), len(doc_ids)), order)
-    _, inverse, own = np.unique(keys, return_inverse=True, return_counts=True)
-    table = own.astype(np.uint64)
+    # The batch's own counts, in the order in which it sent its n-grams.
+    by_key = np.argsort(keys)
+    keys = keys[by_key]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    del keys
+    number = np.cumsum(new, dtype=np.int32) - 1
+    table = np.bincount(number, minlength=0).astype(np.uint64)
     for f, n, t in zip(*(totals.column(c).to_pylist() for c in ("first", "n", "totals"))):
         raw = np.frombuffer(zstandard.decompress(t), dtype=np.uint8)
         table[f : f + n] += np.ascontiguousarray(raw.reshape(8, n).T).view("<u8").ravel()
-    found = np.split(table[inverse].astype(np.float64), np.cumsum([len(p) for p in places])[:-1])
+    spread = np.empty(len(number), dtype=np.float64)
+    spread[by_key] = table[number]
+    del by_key, number, new
+    found = np.split(spread, np.cumsum([len(p) for p in places])[:-1])
     words = int(firsts[-1])
     log = np.zeros(words)
     count = []

@@ -48,8 +48,12 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[: n + 1]
 
 
-def segment_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of values[start:end] for each of many ascending, disjoint segments."""
+def segment_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """A hash of values[start:end], or of what a table has for them, for each of many ascending, disjoint segments."""
+
+    def of(lo: int, hi: int) -> np.ndarray:
+        return values[lo:hi] if table is None else table[values[lo:hi]]
+
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):
@@ -60,14 +64,14 @@ def segment_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
         if n > 4 * _CHUNK:  # one giant segment: fold it piece by piece
             acc = 0
             for p in range(lo, hi, _CHUNK):
-                v = values[p : min(hi, p + _CHUNK)]
+                v = of(p, min(hi, p + _CHUNK))
                 acc = (acc * pow(_B, len(v), 1 << 64) + int((v * powers(_B, len(v))[: len(v)]).sum(dtype=np.uint64))) & _M64
             out[i:j] = U(acc)
             lens = np.array([n], dtype=np.uint64)
         else:
             total = np.empty(n + 1, dtype=np.uint64)
             total[0] = 0
-            np.cumsum(values[lo:hi] * powers(_B, n)[:n], out=total[1:])
+            np.cumsum(of(lo, hi) * powers(_B, n)[:n], out=total[1:])
             s, e = starts[i:j] - lo, ends[i:j] - lo
             out[i:j] = (total[e] - total[s]) * powers(_B_INV, n)[s]
             lens = (e - s).astype(np.uint64)
@@ -91,7 +95,7 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return segment_hash(_VALUE[data], starts, ends)
+    return segment_hash(data, starts, ends, _VALUE)
 
 
 def sequence_hashes(hashes: np.ndarray, n: int, mask: tuple[int, ...] | None = None, salt: int = 0) -> np.ndarray:
