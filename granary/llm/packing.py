@@ -3,8 +3,9 @@
 Only counts by length (at most `capacity` of them) reach the driver.  Large lengths are dealt
 into groups of equal cardinality and rounded up to each group's largest; configurations of few
 sizes are chosen for the rounded counts; actual lengths take their slots, which leaves room;
-small lengths then go to the fullest sequences that hold them.  The plan is a list of runs, each
-of so many alike sequences, and pieces find their slot from their rank among those as long.
+small lengths then go to the fullest sequences that hold them.  Sequences that rounding has left
+with room are packed again at their own lengths, if that saves any.  The plan is a list of runs,
+each of so many alike sequences, and pieces find their slot from their rank among those as long.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import keep, pieces, table
 
-#: Lengths up to capacity / SMALL are small; the others are dealt into GROUPS groups.
-SMALL, GROUPS = 8, 1024
+#: Lengths up to capacity / SMALL are small; the others are dealt into groups, fewer than there can be lengths at 1024:
+#: as many as one of GROUPS says, whichever plan takes the fewest sequences.
+SMALL, GROUPS = 8, (512, 448, 416)
 
 
 def _group(counts: dict[int, int], groups: int) -> list[tuple[int, list[list[int]]]]:
@@ -87,8 +89,27 @@ def _configurations(sizes: dict[int, int], capacity: int) -> list[tuple[tuple[in
     return out
 
 
-def plan(counts: dict[int, int], capacity: int, small: int = SMALL, groups: int = GROUPS) -> list[tuple[tuple[int, ...], int]]:
-    """counts by length -> runs of (lengths in one sequence, number of such sequences)."""
+def plan(counts: dict[int, int], capacity: int, small: int = SMALL, groups: tuple[int, ...] = GROUPS) -> list[tuple[tuple[int, ...], int]]:
+    """counts by length -> runs of (lengths in one sequence, number of such sequences): the best plan of some groupings."""
+    return min((_repacked(grouped(counts, capacity, small, g), capacity, small) for g in groups), key=_sequences)
+
+
+def _sequences(runs: list[tuple[tuple[int, ...], int]]) -> int:
+    return sum(n for _, n in runs)
+
+
+def _repacked(runs: list[tuple[tuple[int, ...], int]], capacity: int, small: int) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences with room are packed again, a group for each length, if that saves any."""
+    loose, counts = [r for r in runs if sum(r[0]) < capacity], {}
+    for lengths, n in loose:
+        for x in lengths:
+            counts[x] = counts.get(x, 0) + n
+    again = grouped(counts, capacity, small, capacity)
+    return [r for r in runs if sum(r[0]) == capacity] + again if _sequences(again) < _sequences(loose) else runs
+
+
+def grouped(counts: dict[int, int], capacity: int, small: int, groups: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan of the scheme itself."""
     large = {k: n for k, n in counts.items() if k > capacity // small and n}
     little = {k: n for k, n in counts.items() if 0 < k <= capacity // small and n}
     stock = {r: [list(x) for x in members] for r, members in _group(large, groups)}
@@ -203,7 +224,8 @@ def best_fit_pack(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2
 
     A document is its ids and the end id; only those longer than `capacity` are cut, into
     pieces as long as it, but for the first.  A null text counts as empty: one piece, the end id.
-    Null doc_ids and repeated rows are packed like others; an empty table gives an empty result.
+    Null doc_ids and repeated rows are packed like others; an empty table gives an empty result;
+    further columns are ignored.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, local long, part int"
     rows = keep(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda b: _cut(b, path, capacity, end), schema))

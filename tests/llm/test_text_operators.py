@@ -390,12 +390,26 @@ def test_packing(docs, none):
     assert packing.best_fit_pack(none, path).count() == 0
 
 
+def test_large_lengths_are_rounded_at_1024():
+    """Groups of equal cardinality hold several lengths; the plan takes no more sequences than one without rounding."""
+    rng = np.random.default_rng(7)
+    counts = {int(k): int(v) for k, v in Counter(np.clip(rng.lognormal(6, 0.8, 20_000), 1, 1024).astype(int).tolist()).items()}
+    large = {k: n for k, n in counts.items() if k > 128}
+    groups = packing._group(large, packing.GROUPS[0])
+    assert len(groups) <= packing.GROUPS[0] < len(large) and any(len({k for k, _ in members}) > 1 for _, members in groups)
+    assert all(rounded == max(k for k, _ in members) for rounded, members in groups)
+    sequences = lambda runs: sum(n for _, n in runs)
+    rounded = [packing.grouped(counts, 1024, packing.SMALL, g) for g in packing.GROUPS]
+    assert sequences(packing.plan(counts, 1024)) <= min(map(sequences, rounded))
+    assert sequences(packing.plan(counts, 1024)) <= 1.005 * -(-sum(k * n for k, n in counts.items()) // 1024)
+
+
 def test_plans_use_all_counts():
     for s in range(60):
         rng = np.random.default_rng(s)
         c = int(rng.integers(8, 60))
         counts = {int(k): int(v) for k, v in Counter(rng.integers(1, c + 1, int(rng.integers(0, 300))).tolist()).items()}
-        runs = packing.plan(counts, c, groups=int(rng.integers(1, 40)))
+        runs = packing.plan(counts, c, groups=(int(rng.integers(1, 40)), int(rng.integers(1, 40))))
         used = Counter()
         for lengths, n in runs:
             assert sum(lengths) <= c and n > 0
