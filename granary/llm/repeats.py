@@ -2,10 +2,11 @@
 
 A suffix starts at each word that has `window` words from there on in its document.  Its code
 stands for its path in the tree of suffixes: eight bits of the hash of its first 1, 2, 4 and 8
-words each, then 48 bits of the hash of its first `window` words.  Codes in order are the tree
-from left to right, and those that agree throughout meet in a node at depth `window`: a passage
-that repeats.  Prefixes are cut longer where counts over all texts say that a group would be too
-large, so each group of suffixes is sorted in memory.
+words each, then all 64 bits of the hash of its first `window` words.  Codes in order are the
+tree from left to right, cut off at depth `window`, since nothing below changes what repeats:
+suffixes whose codes agree throughout share an internal node at that depth or deeper, which is a
+passage that repeats.  Prefixes are cut longer where counts over all texts say that a group would
+be too large, so each group of suffixes is sorted in memory.
 
 Documents are dealt by ranges of doc_id, and each batch of them sends a code once, however often
 it holds it; a passage that all documents share is a row for each batch, not for each document.
@@ -20,14 +21,17 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import BATCH_BYTES, partitions, pieces, table
+from granary.llm.common import partitions, pieces, table
 
 WINDOW = 13
 #: Depths, in words, at which a code has eight bits of its prefix.
 LEVELS = (1, 2, 4, 8)
-#: Suffixes that a group should hold, at least, and by the root of their number.
-GROUP, GROUP_ROOT = 1 << 20, 64
-QUANTILES = 128
+#: Bytes of text in a batch: the more, the fewer codes are sent more than once.
+BATCH = 8 << 20
+#: Suffixes that a group should hold: by the root of their number, between these bounds.
+GROUP, GROUP_ROOT, GROUP_MOST = 1 << 20, 64, 1 << 24
+#: Ranges of doc_id with about equal numbers of rows; more batches than these are cut evenly inside.
+QUANTILES = 4096
 _LAST = 1 << 62
 
 
@@ -46,7 +50,7 @@ def _windows(texts: list[bytes], window: int):
 
 
 def _codes(hashes, at, window: int):
-    """Codes of the suffixes that start at some words: 64 bits, then 16 more."""
+    """Codes of the suffixes that start at some words: 32 bits of prefixes and 32 of the window, then its other 32."""
     import numpy as np
 
     from granary.llm.bytescan import _C, U, mix
@@ -61,7 +65,7 @@ def _codes(hashes, at, window: int):
             top = (top << U(8)) | (mix(acc) >> U(56))
     top <<= U(8 * (4 - len(depths)))
     deep = mix(acc + U(0x5851F42D4C957F2D))
-    return (top << U(32)) | (deep >> U(32)), (deep & U(0xFFFF)).astype(np.uint16)
+    return (top << U(32)) | (deep >> U(32)), (deep & U(0xFFFFFFFF)).astype(np.uint32)
 
 
 def _unique(key, extra):
@@ -87,7 +91,7 @@ def _squeeze(key, extra) -> bytes:
 
     delta = np.diff(key, prepend=np.uint64(0)).astype("<u8")
     planes = np.ascontiguousarray(delta.view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes() + extra.astype("<u2").tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes() + extra.astype("<u4").tobytes())
 
 
 def _expand(data: bytes, n: int):
@@ -96,7 +100,7 @@ def _expand(data: bytes, n: int):
 
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
     delta = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel()
-    return np.cumsum(delta, dtype=np.uint64), raw[8 * n :].view("<u2")
+    return np.cumsum(delta, dtype=np.uint64), raw[8 * n :].view("<u4")
 
 
 def _count(batches: Iterator, window: int) -> Iterator:
@@ -139,7 +143,7 @@ def _batches(rows: Iterator) -> Iterator:
     ids: list = []
     texts: list = []
     for b, d, t in rows:
-        if ids and (b != bucket or (size >= BATCH_BYTES and d != ids[-1])):
+        if ids and (b != bucket or (size >= BATCH and d != ids[-1])):
             yield _LAST if ids[0] is None else (bucket << 20) + seq, bucket, ids, texts
             ids, texts = [], []
         if b != bucket:
@@ -244,21 +248,25 @@ def _cover(docs, flags, window: int):
 
 
 def _bucket(docs: DataFrame) -> Column:
-    """Ranges of doc_id in order, of about a batch of text each, from quantiles and even steps between them."""
+    """Ranges of doc_id in order, of about a batch of text each: quantiles, and even steps between them where there are more."""
     size, least, most = docs.agg(F.sum(F.octet_length("text")), F.min("doc_id"), F.max("doc_id")).first()
-    many = -(-int(size or 0) // BATCH_BYTES)
+    many = max(1, -(-int(size or 0) // BATCH))
     if least is None:
         ranged = F.lit(0).cast("long")
     else:
-        cuts = docs.agg(F.percentile_approx("doc_id", [i / QUANTILES for i in range(1, QUANTILES)], 10_000)).first()[0]
-        bounds = sorted({least, *cuts, most + 1})
-        steps = max(1, -(-many // QUANTILES))
-        i = F.size(F.filter(F.lit(bounds), lambda x: x <= F.col("doc_id"))) - 1
-        low, high = F.get(F.lit(bounds), i), F.get(F.lit(bounds), i + 1)  # null for a null doc_id
-        inner = F.floor((F.col("doc_id") - low).cast("double") * steps / (high - low).cast("double"))
-        ranged = (i.cast("long") * steps) + F.least(inner, F.lit(steps - 1)).cast("long")
+        parts = min(many, QUANTILES)
+        # Where ranges begin: at most as many numbers as there are quantiles.
+        cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 100_000)).first()[0] if parts > 1 else []
+        bounds = sorted({least, *cuts})
+        held, steps = F.lit(bounds), -(-many // len(bounds)) if many > QUANTILES else 1
+        # The last bound that is not above, by halving; null for a null doc_id.
+        halves = F.lit([1 << k for k in reversed(range(len(bounds).bit_length()))])
+        i = F.aggregate(halves, F.lit(0), lambda at, h: F.when((at + h < len(bounds)) & (F.get(held, at + h) <= F.col("doc_id")), (at + h).cast("int")).otherwise(at))
+        low, high = F.get(held, i).cast("double"), F.coalesce(F.get(held, i + 1), F.lit(most)).cast("double")
+        inner = F.floor((F.col("doc_id").cast("double") - low) * steps / F.greatest(high - low, F.lit(1.0)))
+        ranged = F.when(F.col("doc_id").isNotNull(), i.cast("long") * steps + F.least(inner, F.lit(steps - 1)).cast("long"))
     # Documents without an id come after all others, and don't precede each other.
-    return F.coalesce(ranged, (1 << 40) + F.pmod(F.xxhash64("text"), F.lit(max(1, many))))
+    return F.coalesce(ranged, (1 << 40) + F.pmod(F.xxhash64("text"), F.lit(many)))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -267,14 +275,15 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A word repeats if it lies in `window` consecutive words whose sequence also starts in a
     document with a smaller doc_id; all judged on the input.  A null text counts as empty.
     A row with a null doc_id comes after all that have one, and none of those precedes
-    another; rows of one doc_id don't precede each other either.  An empty table gives an
-    empty result; further columns are ignored.
+    another; rows of one doc_id don't precede each other either.  Any 64-bit id will do, however
+    uneven; rows of one id stay together.  An empty table gives an empty result; further columns
+    are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     counts = docs.select("text").mapInArrow(lambda b: _count(b, window), "prefix int, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
     counts = {r["prefix"]: r["n"] for r in counts.collect()}  # 65,536 rows at most
-    cuts = prefixes(counts, max(GROUP, int(GROUP_ROOT * sum(counts.values()) ** 0.5)))
+    cuts = prefixes(counts, min(GROUP_MOST, max(GROUP, int(GROUP_ROOT * sum(counts.values()) ** 0.5))))
     n = partitions(spark)
     dealt = docs.withColumn("bucket", _bucket(docs)).repartition(n, "bucket")
     sent = dealt.sortWithinPartitions("bucket", "doc_id", "text").mapInArrow(lambda b: _send(b, cuts, window), "grp int, rank long, bucket long, first long, n long, data binary")
