@@ -288,7 +288,7 @@ def test_mahalanobis(spark):
 
     n, t, q = found["c"]
     assert [r[0] for r in df.orderBy("id").select(mahalanobis(F.col("features"), F.lit(float(n)), F.lit(t), F.lit(q))).collect()] == [0.0, 2.0]
-    assert [r[0] for r in df.orderBy("id").select(cluster.nearest(found, 2.0)).collect()] == ["c", None]  # strict
+    assert [r["k"] for r in cluster.nearest(df, found, 2.0, "k").orderBy("id").collect()] == ["c", None]  # strict
 
 
 def test_close_summaries_merge():
