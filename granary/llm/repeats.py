@@ -8,10 +8,12 @@ suffixes whose codes agree throughout share an internal node at that depth or de
 passage that repeats.  Prefixes are cut longer where counts over all texts say that a group would
 be too large, so each group of suffixes is sorted in memory.
 
-Documents are dealt by ranges of doc_id, and each batch of them sends a code once, however often
+Documents are dealt by ranges of doc_id, and each batch of them sends a code once, with how often
 it holds it; a passage that all documents share is a row for each batch, not for each document.
-Groups answer with a bit a code: has an earlier batch got it?  Batches turn bits into the maximal
-runs of words that repeat.
+Groups answer for each code in a deep internal node: has an earlier batch got it, and how many
+suffixes are below?  Batches turn answers into the runs of words that repeat and, where these
+branch, into maximal repeats: as long as a passage and a longer one occur equally often, the path
+between them has no branch.
 """
 
 from __future__ import annotations
@@ -69,7 +71,7 @@ def _codes(hashes, at, window: int):
 
 
 def _unique(key, extra):
-    """Distinct codes in order, and for each suffix the number of its code."""
+    """Distinct codes in order, how often each comes, and for each suffix the number of its code."""
     import numpy as np
 
     order = np.argsort(key, kind="stable")
@@ -79,19 +81,32 @@ def _unique(key, extra):
         k, x = key[order], extra[order]
     new = np.ones(len(k), dtype=bool)
     new[1:] = (k[1:] != k[:-1]) | (x[1:] != x[:-1])
+    number = np.cumsum(new) - 1
     inverse = np.empty(len(k), dtype=np.int64)
-    inverse[order] = np.cumsum(new) - 1
-    return k[new], x[new], inverse
+    inverse[order] = number
+    return k[new], x[new], np.bincount(number).astype(np.uint32), inverse
 
 
-def _squeeze(key, extra) -> bytes:
-    """Codes in order as bytes: differences by byte plane, compressed, then the further bits."""
+def _planes(x) -> bytes:
+    """Numbers as byte planes, which compress well."""
+    import numpy as np
+
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _numbers(raw, n: int, kind: str):
+    import numpy as np
+
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw[: size * n].reshape(size, n).T).view(kind).ravel()
+
+
+def _squeeze(key, extra, count) -> bytes:
+    """Codes in order and how often each comes: differences by byte plane, the further bits, the counts."""
     import numpy as np
     import zstandard
 
-    delta = np.diff(key, prepend=np.uint64(0)).astype("<u8")
-    planes = np.ascontiguousarray(delta.view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes() + extra.astype("<u4").tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(_planes(np.diff(key, prepend=np.uint64(0)).astype("<u8")) + extra.astype("<u4").tobytes() + _planes(count.astype("<u4")))
 
 
 def _expand(data: bytes, n: int):
@@ -99,8 +114,7 @@ def _expand(data: bytes, n: int):
     import zstandard
 
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
-    delta = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel()
-    return np.cumsum(delta, dtype=np.uint64), raw[8 * n :].view("<u4")
+    return np.cumsum(_numbers(raw, n, "<u8"), dtype=np.uint64), raw[8 * n : 12 * n].view("<u4"), _numbers(raw[12 * n :], n, "<u4")
 
 
 def _count(batches: Iterator, window: int) -> Iterator:
@@ -171,18 +185,18 @@ def _send(batches: Iterator, cuts: list[int], window: int) -> Iterator:
     bounds = np.array(cuts, dtype=np.uint64) << np.uint64(32)
     for rank, bucket, _, texts in _batches(_rows(batches)):
         hashes, _, at = _windows(texts, window)
-        key, extra, _ = _unique(*_codes(hashes, at, window))
+        key, extra, count, _ = _unique(*_codes(hashes, at, window))
         place = np.searchsorted(bounds, key, side="right") - 1
         # Only groups that the batch has suffixes for.
         cut = np.flatnonzero(np.diff(place, prepend=-1, append=-1)).tolist()
-        rows = [(int(place[a]), rank, bucket, a, b - a, _squeeze(key[a:b], extra[a:b])) for a, b in zip(cut, cut[1:])]
+        rows = [(int(place[a]), rank, bucket, a, b - a, _squeeze(key[a:b], extra[a:b], count[a:b])) for a, b in zip(cut, cut[1:])]
         if rows:
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()])], ["grp", "rank", "bucket", "first", "n", "data"])
 
 
 def _tree(group):
-    """One group's suffixes in order; a bit for each, set where an earlier batch is in its node."""
+    """One group's suffixes in order -> for each that is in a deep internal node: is an earlier batch there, and how many are."""
     import numpy as np
     import pyarrow as pa
     import zstandard
@@ -190,17 +204,23 @@ def _tree(group):
     n = group.column("n").to_pylist()
     got = [_expand(d, k) for d, k in zip(group.column("data").to_pylist(), n)]
     rank = np.repeat(group.column("rank").to_numpy(), n)
-    key, extra = np.concatenate([k for k, _ in got]), np.concatenate([x for _, x in got])
+    key, extra, count = (np.concatenate([g[i] for g in got]) for i in range(3))
     del got
     order = np.lexsort((rank, extra, key))
     key, extra, rank = key[order], extra[order], rank[order]
     start = np.ones(len(key), dtype=bool)
     start[1:] = (key[1:] != key[:-1]) | (extra[1:] != extra[:-1])
-    least = rank[start][np.cumsum(start) - 1]
-    seen = np.empty(len(key), dtype=bool)
-    seen[order] = rank > least
-    ends = np.cumsum(n)
-    rows = [(b, r, f, k, zstandard.compress(np.packbits(seen[e - k : e]).tobytes())) for b, r, f, k, e in zip(group.column("bucket").to_pylist(), group.column("rank").to_pylist(), group.column("first").to_pylist(), n, ends.tolist()) if seen[e - k : e].any()]
+    del key, extra
+    node = np.cumsum(start, dtype=np.int32) - 1
+    below = np.bincount(node, weights=count[order]).astype(np.uint64)
+    seen, total = np.empty(len(node), dtype=bool), np.empty(len(node), dtype=np.uint32)
+    seen[order] = rank > rank[start][node]
+    total[order] = np.minimum(below, 0xFFFFFFFF)[node].astype(np.uint32)
+    rows = []
+    for b, r, f, k, e in zip(group.column("bucket").to_pylist(), group.column("rank").to_pylist(), group.column("first").to_pylist(), n, np.cumsum(n).tolist()):
+        deep = total[e - k : e] > 1
+        if deep.any():
+            rows.append((b, r, f, k, zstandard.compress(np.packbits(seen[e - k : e]).tobytes() + np.packbits(deep).tobytes() + _planes(total[e - k : e][deep].astype("<u4")))))
     cols = list(zip(*rows)) or [[]] * 5
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()])], names=["bucket", "rank", "first", "n", "bits"])
 
@@ -220,31 +240,41 @@ def _cover(docs, flags, window: int):
     rows = []
     for rank, _, ids, texts in _batches(_rows(docs.to_batches())):
         hashes, firsts, at = _windows(texts, window)
-        key, _, inverse = _unique(*_codes(hashes, at, window))
+        key, _, total, inverse = _unique(*_codes(hashes, at, window))
         seen = np.zeros(len(key), dtype=bool)
         for f, n, b in bits.get(rank, ()):
-            seen[f : f + n] = np.unpackbits(np.frombuffer(zstandard.decompress(b), dtype=np.uint8), count=n).astype(bool)
+            raw, size = np.frombuffer(zstandard.decompress(b), dtype=np.uint8), -(-n // 8)
+            seen[f : f + n], deep = (np.unpackbits(raw[i * size : (i + 1) * size], count=n).astype(bool) for i in (0, 1))
+            total[f : f + n][deep] = _numbers(raw[2 * size :], int(deep.sum()), "<u4")
         # Within the batch: the place in order of each window's doc_id, equal for equal ones.
         change = np.concatenate([[0], np.cumsum([a != b for a, b in zip(ids[1:], ids)])]).astype(np.int64)
         own = np.repeat(change, np.diff(firsts))[at]
         least = np.full(len(key), len(ids), dtype=np.int64)
         np.minimum.at(least, inverse, own)
-        hit = at[seen[inverse] | (least[inverse] < own)]
+        again = seen[inverse] | (least[inverse] < own)
+        hit, total = at[again], total[inverse[again]]
         covered = np.zeros(len(hashes) + 1, dtype=np.int64)
         np.add.at(covered, hit, 1)
         np.add.at(covered, hit + window, -1)
         covered = np.cumsum(covered)[:-1] > 0
+        # Windows that follow each other and occur equally often are one path without a branch.
+        text = np.searchsorted(firsts, hit, side="right")
+        new = np.flatnonzero((np.diff(hit, prepend=-2) != 1) | (np.diff(text, prepend=-1) != 0) | (np.diff(total.astype(np.int64), prepend=-1) != 0))
+        paths = np.stack([hit[new], hit[np.append(new[1:], len(hit)) - 1] + window if len(new) else hit[new], total[new]])
+        cut = np.searchsorted(paths[0], firsts)
         for i, (d, t) in enumerate(zip(ids, texts)):
             c, w = covered[firsts[i] : firsts[i + 1]], t.split()
             if c.any():
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], c, [False]]).astype(np.int8)))
                 spans = [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])]
-                rows.append((d, len(w), spans, b" ".join(compress(w, ~c))))
+                longest = [{"start": int(a - firsts[i]), "end": int(b - firsts[i]), "occurrences": int(n)} for a, b, n in paths[:, cut[i] : cut[i + 1]].T]
+                rows.append((d, len(w), spans, longest, b" ".join(compress(w, ~c))))
             else:
-                rows.append((d, len(w), [], b" ".join(w)))
-    cols = list(zip(*rows)) or [[]] * 4
-    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    return pa.Table.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], spans), pa.array(cols[3], pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "repeats", "kept"])
+                rows.append((d, len(w), [], [], b" ".join(w)))
+    cols = list(zip(*rows)) or [[]] * 5
+    span = [("start", pa.int32()), ("end", pa.int32())]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct(span)), pa.list_(pa.struct([*span, ("occurrences", pa.int64())]))]
+    return pa.Table.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds)), pa.array(cols[4], pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "repeats", "maximal", "kept"])
 
 
 def _bucket(docs: DataFrame) -> Column:
@@ -270,7 +300,10 @@ def _bucket(docs: DataFrame) -> Column:
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, repeats (runs of words, [start, end)), kept (text without them).
+    """One row per row of docs: doc_id, n_words, repeats (runs of words, [start, end)), maximal, kept (text without repeats).
+
+    maximal has the maximal repeats within those runs: start, end, and how many suffixes of all
+    texts begin with each window of it, which is one number throughout.
 
     A word repeats if it lies in `window` consecutive words whose sequence also starts in a
     document with a smaller doc_id; all judged on the input.  A null text counts as empty.
@@ -289,7 +322,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     sent = dealt.sortWithinPartitions("bucket", "doc_id", "text").mapInArrow(lambda b: _send(b, cuts, window), "grp int, rank long, bucket long, first long, n long, data binary")
     flags = sent.groupBy("grp").applyInArrow(_tree, "bucket long, rank long, first long, n long, bits binary")
     both = dealt.groupBy("bucket").cogroup(flags.groupBy("bucket"))
-    return both.applyInArrow(lambda a, b: _cover(a, b, window), "doc_id long, n_words long, repeats array<struct<start:int,end:int>>, kept string")
+    return both.applyInArrow(lambda a, b: _cover(a, b, window), "doc_id long, n_words long, repeats array<struct<start:int,end:int>>, maximal array<struct<start:int,end:int,occurrences:long>>, kept string")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

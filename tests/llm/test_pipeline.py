@@ -4,6 +4,7 @@ import corpus_pipeline
 import pytest
 
 from granary.llm import decontaminate, quality, secrets
+from granary.llm.common import keep
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +47,18 @@ def test_stages(spark, folder):
     assert {r["doc_id"] for r in rows["packing"]} == set(before)
     again = corpus_pipeline.run(spark, folder).collect()
     assert sorted(map(str, again)) == sorted(map(str, rows["packing"]))
+
+
+def test_stages_on_odd_rows(spark, docs, none, folder):
+    """Null ids and texts, repeated rows, long texts, further columns with clashing names; then no rows at all."""
+    for at in (docs, none):
+        for name, stage in corpus_pipeline.STAGES:
+            before, at = at, keep(stage(spark, at, folder))
+            if name == "packing":
+                assert {r["doc_id"] for r in at.select("doc_id").distinct().collect()} == {r["doc_id"] for r in before.select("doc_id").collect()}
+            else:
+                assert at.columns == docs.columns and at.schema["text"].dataType == docs.schema["text"].dataType
+                assert at.join(before, [before.doc_id.eqNullSafe(at.doc_id)], "left_anti").count() == 0
+            if name in ("secrets", "packing"):
+                assert (at.select("doc_id").distinct().count()) == before.select("doc_id").distinct().count()
+        assert (at.count() > 0) == (before.count() > 0)

@@ -22,21 +22,27 @@ def words_of(text):
 
 def test_repeats(docs, none):
     rows, w = rows_of(docs), 13
-    least = {}
+    least, times = {}, Counter()
     for d, t in rows:
         ws = words_of(t)
         for i in range(len(ws) - w + 1):
             k = tuple(ws[i : i + w])
+            times[k] += 1
             least[k] = min(least.get(k, 1 << 62), 1 << 62 if d is None else d)
     want = Counter()
     for d, t in rows:
         ws = words_of(t)
-        cover = [False] * len(ws)
+        cover, paths = [False] * len(ws), []
         for i in range(len(ws) - w + 1):
-            if least[tuple(ws[i : i + w])] < (1 << 62 if d is None else d):
+            k = tuple(ws[i : i + w])
+            if least[k] < (1 << 62 if d is None else d):
                 cover[i : i + w] = [True] * w
-        want[d, len(ws), sum(cover), b" ".join(x for x, c in zip(ws, cover) if not c).decode()] += 1
-    got = Counter((r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["repeats"]), r["kept"]) for r in repeats.repeats(docs).collect())
+                if paths and paths[-1][1] == i + w - 1 and paths[-1][2] == times[k]:
+                    paths[-1][1] += 1
+                else:
+                    paths.append([i, i + w, times[k]])
+        want[d, len(ws), sum(cover), str(paths), b" ".join(x for x, c in zip(ws, cover) if not c).decode()] += 1
+    got = Counter((r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["repeats"]), str([list(m) for m in r["maximal"]]), r["kept"]) for r in repeats.repeats(docs).collect())
     assert got == want
     assert sum(n for k, n in want.items() if k[2]) > 5
     assert repeats.repeats(none).count() == 0
