@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages, each an operator of granary.llm, over all that its predecessor kept."""
+"""The corpus pipeline: five stages, each an operator of granary.llm, over all that its predecessor kept.
+
+Null and empty texts, null ids, repeated rows, empty tables and further columns (whatever their
+names) go through every stage as its operator's docstring says; without trusted positives among
+the labels the classifier rejects nothing.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +19,10 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that pairs with a Jaccard similarity of five-word shingles of 0.8 or more link."""
+    """One document of each group that pairs with a Jaccard similarity of five-word shingles of 0.8 or more link.
+
+    SimHash links come first, each checked on the shingles; MinHash cells propose what they can't hold together.
+    """
     return nearcopies.without_near_copies(docs)
 
 
@@ -24,7 +32,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by a mark."""
+    """All documents, secrets in their texts replaced by a mark; words are ranked over these documents."""
     return secrets.redacted(docs)
 
 
@@ -41,7 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to the table documents, each written and read again."""
+    """The stages applied to the table documents, each written and read again: the rows of the last."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = keep(stage(spark, docs, sf_dir))
