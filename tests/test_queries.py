@@ -9,8 +9,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 FOLDER, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 #: The graph of users has no edge on the smallest tables.
 GRAPH = {"cooccurrence_graph", "label_propagation", "community_lines", "shortest_paths", "edge_betweenness", "betweenness_top", "betweenness_lines", "modularity"}
-#: Streams run a job for every micro-batch; test_mining compares them with the batch forms.
-SLOW = {"stream_bloom", "stream_fm", "stream_reservoir", "son_frequent"}
+#: Streams run a job for every micro-batch; test_mining compares them with the batch forms, and reports with their text.
+SLOW = {"stream_bloom", "stream_fm", "stream_reservoir", "son_frequent", "son_document"}
 
 
 @pytest.fixture(scope="module")
