@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def importable(spark: SparkSession) -> None:
+    """Workers find this package where the driver did, from whatever folder it was started; elsewhere the path does nothing."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    have = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in have:
+        env["PYTHONPATH"] = os.pathsep.join([x for x in have if x] + [root])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only in local mode (tests), where all share one disk."""
     sc = spark.sparkContext
