@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.plans.lineage import keep, release, shared_dir
+from granary.plans.lineage import importable, keep, release, shared_dir
 
 __all__ = ["BATCH_BYTES", "keep", "partitions", "pieces", "release", "shared_dir", "table"]
 
@@ -16,16 +14,8 @@ __all__ = ["BATCH_BYTES", "keep", "partitions", "pieces", "release", "shared_dir
 BATCH_BYTES = 4 << 20
 
 
-def _importable(spark: SparkSession) -> None:
-    """Workers find this package where the driver did, from whatever folder it was started; elsewhere the path does nothing."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in have:
-        env["PYTHONPATH"] = os.pathsep.join([x for x in have if x] + [root])
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    _importable(spark)
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
