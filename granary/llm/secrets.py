@@ -19,7 +19,7 @@ from math import log10
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import pieces, table
+from granary.llm.common import keep, pieces, release, table
 from granary.llm.spans import count_of, joined, scan_documents
 
 BASE = ["assign", "access", "hex"]
@@ -209,10 +209,18 @@ def _word_counts(batches: Iterator) -> Iterator:
 def ranked_words(docs: DataFrame, most: int = VOCABULARY) -> dict[str, int]:
     """Common passwords, then the `most` most frequent words of all texts (3 to 24 letters a-z, any case) -> their ranks.
 
-    Counted over every whole text; only the first `most` reach the driver.
+    Counted over every whole text.  Of words, only those that come often enough to be among the
+    first `most` reach the driver: numbers of words by the logarithm of their counts say how often.
     """
-    counts = docs.select(F.col("text").cast("string")).mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(most).collect()
+    counts = keep(docs.select(F.col("text").cast("string")).mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    step = F.floor(64 * F.log2("n")).cast("int")
+    least, above = 0, 0
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():  # 4,096 rows at most
+        least, above = r["step"], above + r["words"]
+        if above >= most:
+            break
+    top = counts.filter(step >= least).orderBy(F.desc("n"), "word").limit(most).collect()
+    release(counts)
     return COMMON | {w: len(COMMON) + i for i, w in enumerate((r["word"] for r in top if r["word"] not in COMMON), 1)}
 
 
