@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators import cluster, graph, itemsets, recommend, similarity, sketch
+from granary.operators import cluster, graph, itemsets, recommend, similarity, sketch, twins
 from granary.streaming import replay
 
 
@@ -180,6 +180,36 @@ def test_girvan_newman_to_the_end(spark, monkeypatch):
     assert sorted(tuple(r) for r in best.collect()) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4)]
 
 
+def sharing(seed=3):
+    """(node, group) with copies of some sets, nulls, and groups of all sizes."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(60):
+        own = {rng.randrange(12) for _ in range(rng.randint(1, 9))}
+        rows += [(i + 100 * j, f"g{x}") for j in range(rng.choice((1, 1, 3))) for x in own]
+    return rows
+
+
+def shared_by_pairs(rows, threshold):
+    sets = {}
+    for node, group in rows:
+        sets.setdefault(node, set()).add(group)
+    return {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= threshold}
+
+
+def test_cooccurrence_by_classes_and_blocks(spark, monkeypatch):
+    """As by all pairs, in one block and in many, by matrices and pair by pair; links are between classes only."""
+    rows = sharing()
+    df = spark.createDataFrame([*rows, (None, "g1"), (5000, None), rows[0]], "node long, group string")
+    for threshold, nodes, dense in ((1, 4096, 0.01), (3, 7, 0.01), (3, 7, 2), (5, 4096, 2)):
+        monkeypatch.setattr(twins, "BLOCK_NODES", nodes)
+        monkeypatch.setattr(twins, "_DENSE", dense)
+        links, members = twins.merged(df, threshold)
+        want = shared_by_pairs(rows, threshold)
+        assert {(r["src"], r["dst"]): r["weight"] for r in twins.expanded(links, members).collect()} == want and want
+        assert links.count() < len(want) and {r["node"] for r in members.collect()} == {x for e in want for x in e}
+
+
 def test_near_sets(spark):
     """Against all pairs, with equal sets, a word that all share and sets of one word."""
     rng = random.Random(5)
