@@ -93,12 +93,15 @@ def reservoir(stream: DataFrame, size: int = RESERVOIR) -> DataFrame:
     return taken.groupBy("slot").agg(F.max(F.struct("seq", "id")).alias("m")).select("slot", "m.seq", "m.id")
 
 
-def reservoir_report(stream: DataFrame, size: int = RESERVOIR, shown: tuple[int, ...] = (0, 20, 40, 60, 80)) -> DataFrame:
-    """Per batch: elements so far, and the ids in some slots then (null while empty)."""
+def reservoir_report(stream: DataFrame, size: int = RESERVOIR, shown: tuple[int, ...] = (0, 20, 40, 60, 80), before: DataFrame | None = None) -> DataFrame:
+    """Per batch: elements so far, and the ids in some slots then (null while empty); before: (slot, seq, id) held when the first batch came."""
     taken = stream.withColumn("slot", slot(F.col("seq"), size)).filter(F.col("slot").isin(*shown))
     last = taken.groupBy("batch", "slot").agg(F.max(F.struct("seq", "id")).alias("m"))
     ends = stream.groupBy("batch").agg(F.max("seq").alias("seqnum"))
     grid = ends.withColumn("slot", F.explode(F.array(*[F.lit(s).cast("bigint") for s in shown]))).join(last, ["batch", "slot"], "left")
     w = Window.partitionBy("slot").orderBy("batch")
-    held = grid.withColumn("id", F.last("m.id", ignorenulls=True).over(w))
+    if before is not None:  # a row for each slot
+        grid = grid.join(F.broadcast(before.select("slot", F.col("id").alias("old"))), "slot", "left")
+    was = F.lit(None) if before is None else F.col("old")
+    held = grid.withColumn("id", F.coalesce(F.last("m.id", ignorenulls=True).over(w), was))
     return held.groupBy("batch", "seqnum").agg(*[F.max(F.when(F.col("slot") == s, F.col("id"))).alias(f"slot_{s}") for s in shown])

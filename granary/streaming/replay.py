@@ -1,4 +1,4 @@
-"""Structured Streaming forms: one micro-batch for each file, state in tables of the shared folder.
+"""Structured Streaming forms: one micro-batch for each file, which holds some whole batches; state in tables of the shared folder.
 
 Every micro-batch writes its result and its state under its own number, so that one which runs
 again after a failure overwrites what it had written and reads the same state as before.
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from granary.operators import sketch
 from granary.operators.numbering import numbered
-from granary.plans.lineage import keep, shared_dir
+from granary.plans.lineage import keep, release, shared_dir
 
 
 def ask(lines: DataFrame, size: int, asks: int, seed: int = 553) -> DataFrame:
@@ -25,13 +25,27 @@ def ask(lines: DataFrame, size: int, asks: int, seed: int = 553) -> DataFrame:
     return keep(draws).join(rows, "line").select("batch", "seq", "id")
 
 
+#: Micro-batches that a backlog comes in (or one for each batch, if there are fewer), and rows of one, beyond which there are more.
+MICRO_BATCHES, MICRO_ROWS = 24, 1 << 20
+
+
 def source(rows: DataFrame, batch: str) -> DataFrame:
-    """A stream that brings the rows of each value of the batch column as a micro-batch, in order."""
+    """A stream that brings the rows by the batch column, in order: a micro-batch has all rows of some consecutive values.
+
+    What a micro-batch costs besides its rows is paid for each micro-batch, so their number grows
+    with the rows and not with the batches; results are by batch all the same.
+    """
     spark = rows.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path, parts = (f"{shared_dir(spark)}/{uuid.uuid4().hex}" for _ in range(2))
     held = keep(rows)
-    for b in [r[0] for r in held.select(batch).distinct().orderBy(batch).collect()]:
-        held.filter(F.col(batch) == b).coalesce(1).write.mode("append").parquet(path)
+    batches = keep(numbered(held.select(batch).distinct(), batch, "at"))
+    n, total = batches.count(), held.count()
+    each = max(1, n // max(MICRO_BATCHES, -(-total // MICRO_ROWS)))
+    dealt = held.join(batches.select(F.col(batch).alias("__batch"), F.expr(f"at div {each}").alias("__part")), F.col(batch).eqNullSafe(F.col("__batch"))).drop("__batch")
+    dealt.repartition("__part").write.partitionBy("__part").parquet(parts)
+    for k in range(-(-n // each)):
+        spark.read.schema(rows.schema).parquet(f"{parts}/__part={k}").coalesce(1).write.mode("append").parquet(path)
+    release(held, batches)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -45,7 +59,7 @@ def _results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def per_batch(stream: DataFrame, summary: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A summary of each micro-batch by itself: nothing is carried over."""
+    """A summary by batch: a micro-batch has whole batches, so nothing is carried over."""
     path = f"{shared_dir(stream.sparkSession)}/{uuid.uuid4().hex}"
     _run(stream, lambda df, n: summary(df).write.mode("overwrite").parquet(f"{path}/result/{n}"))
     return _results(stream.sparkSession, path)
@@ -99,13 +113,12 @@ def reservoir(stream: DataFrame, size: int = sketch.RESERVOIR, shown: tuple[int,
     spark, path = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/{uuid.uuid4().hex}"
 
     def step(df: DataFrame, n: int) -> None:
-        held = sketch.reservoir(df, size)
+        held, before = sketch.reservoir(df, size), None
         if n:
-            held = held.unionByName(spark.read.parquet(f"{path}/held/{n - 1}")).groupBy("slot").agg(F.max(F.struct("seq", "id")).alias("m")).select("slot", "m.seq", "m.id")
+            before = spark.read.parquet(f"{path}/held/{n - 1}")
+            held = held.unionByName(before).groupBy("slot").agg(F.max(F.struct("seq", "id")).alias("m")).select("slot", "m.seq", "m.id")
         held.coalesce(1).write.mode("overwrite").parquet(f"{path}/held/{n}")
-        held = spark.read.parquet(f"{path}/held/{n}")
-        row = held.agg(*[F.max(F.when(F.col("slot") == s, F.col("id"))).alias(f"slot_{s}") for s in shown])
-        df.groupBy("batch").agg(F.max("seq").alias("seqnum")).join(F.broadcast(row)).write.mode("overwrite").parquet(f"{path}/result/{n}")
+        sketch.reservoir_report(df, size, shown, before).coalesce(1).write.mode("overwrite").parquet(f"{path}/result/{n}")
 
     _run(stream, step)
     return _results(spark, path)

@@ -306,6 +306,24 @@ def test_distinct_estimates(spark):
     assert sorted(map(tuple, replay.per_batch(replay.source(rows, "batch"), sketch.distinct_estimate).collect())) == sorted(map(tuple, got))
 
 
+def steps_of(monkeypatch):
+    """The numbers of the micro-batches that ran."""
+    ran, run = [], replay._run
+    monkeypatch.setattr(replay, "_run", lambda stream, step: run(stream, lambda df, n: (ran.append(n), step(df, n))[1]))
+    return ran
+
+
+def test_reservoir_of_few_micro_batches(spark, monkeypatch):
+    """Sixty batches, of unlike sizes and with a gap, come in a few micro-batches; slots are held from one to the next."""
+    ran = steps_of(monkeypatch)
+    rows = [(i + 1, b + 5 * (b > 30), f"u{i}") for i, b in enumerate(sorted(int(60 * (i / 900) ** 2) for i in range(900)))]
+    stream = spark.createDataFrame(rows, "seq long, batch long, id string")
+    want = sorted(map(tuple, sketch.reservoir_report(stream).collect()))
+    got = replay.reservoir(replay.source(stream, "batch")).select("batch", "seqnum", *[f"slot_{s}" for s in (0, 20, 40, 60, 80)])
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 60
+    assert 10 < len(ran) <= 30
+
+
 def test_black_box_draws_with_replacement(spark):
     got = replay.ask(spark.createDataFrame([("a",), ("b",)], "value string"), 10, 3)
     assert got.count() == 30 and {r["id"] for r in got.collect()} == {"a", "b"}
