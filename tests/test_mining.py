@@ -324,6 +324,18 @@ def test_reservoir_of_few_micro_batches(spark, monkeypatch):
     assert 10 < len(ran) <= 30
 
 
+def test_estimates_of_few_micro_batches(spark, monkeypatch):
+    ran = steps_of(monkeypatch)
+    monkeypatch.setattr(replay, "MICRO_BATCHES", 4)
+    rows = stream_of(spark, [f"k{i * i % 70}" for i in range(900)], 15)
+    got = replay.per_batch(replay.source(rows, "batch"), sketch.distinct_estimate).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, sketch.distinct_estimate(rows).collect())) and len(got) == 60
+    assert ran == [0, 1, 2, 3]
+    ids, family = [f"u{i * 7919 % 151}" for i in range(300)], sketch.bloom_family(101, 2)
+    streamed = replay.bloom(replay.source(stream_of(spark, ids, 15), "batch"), 101, family).collect()
+    assert {r["batch"]: (r["fp"], r["tn"]) for r in streamed} == loop_bloom(ids, 101, family, 15)
+
+
 def test_black_box_draws_with_replacement(spark):
     got = replay.ask(spark.createDataFrame([("a",), ("b",)], "value string"), 10, 3)
     assert got.count() == 30 and {r["id"] for r in got.collect()} == {"a", "b"}
