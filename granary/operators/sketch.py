@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.columns import big_int_mod, hash_family, hash_rows, trailing_zeros
-from granary.plans.lineage import spread
+from granary.functions.columns import big_int_mod, hash_family, hash_rows
+from granary.plans.lineage import importable, spread
 
 FIELD = 2_147_483_647
 BITS, BLOOM_HASHES = 69_997, 10
@@ -61,19 +61,65 @@ def false_positive_rate(stream: DataFrame, bits: int = BITS, family: list[tuple[
     return every.withColumn("fpr", F.coalesce(F.try_divide(F.col("fp"), F.col("fp") + F.col("tn")), F.lit(0.0)))
 
 
+def _most_zeros(family: list[tuple[int, int, int]], limit: int):
+    """For mapInArrow: (batch, x, n) -> for each batch of an Arrow batch, rows, distinct ids, and its hashes' trailing zeros, packed; and the bits of each.
+
+    The most trailing zeros of a hash are the highest bit of all its values' lowest bits or'ed, so
+    some hashes go in a number (null without an id), and parts of a batch are or'ed again.
+    """
+    width = max(2, (limit - 1).bit_length())
+    each = 63 // width
+    if max(a for a, _, _ in family) * FIELD + max(b for _, b, _ in family) >= 1 << 63:
+        raise ValueError("hashes must fit in 63 bits")
+
+    def packed(parts):
+        import numpy as np
+        import pyarrow as pa
+
+        for part in parts:
+            if not part.num_rows:
+                continue
+            names = part.column("batch").dictionary_encode()
+            code = names.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+            known = part.column("x").is_valid().to_numpy(zero_copy_only=False)[order]
+            x = part.column("x").fill_null(0).to_numpy()[order].astype(np.uint64)
+            words = np.zeros((-(-len(family) // each), len(x)), np.uint64)
+            for i, (a, b, p) in enumerate(family):
+                h = x * np.uint64(a) + np.uint64(b)
+                for m in (np.uint64(p), np.uint64(limit)):
+                    h -= h // m * m  # several times as fast as %
+                low = h & (~h + np.uint64(1))
+                low[h == 0] = 2  # as trailing_zeros has it
+                words[i // each] |= low << np.uint64(i % each * width)
+            words[:, ~known] = 0
+            ored = np.bitwise_or.reduceat(words, starts, axis=1).T.astype(np.int64)
+            values = pa.array(ored.ravel(), mask=ored.ravel() == 0)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, ored.size + 1, len(words)), pa.int32()), values)
+            n = part.column("n").to_numpy()[order]
+            counts = [pa.array(np.add.reduceat(c, starts), pa.int64()) for c in (n, known.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(code[order][starts])), *counts, lists], ["batch", "n_rows", "n_distinct", "w"])
+
+    return packed, width
+
+
 def distinct_estimate(stream: DataFrame, group: int = FM_GROUP, limit: int = FM_RANGE, family: list[tuple[int, int, int]] | None = None) -> DataFrame:
     """Per batch: rows, distinct ids, and the estimate: the upper median of 2 ** (mean of each group's most trailing zeros), cut to an integer."""
     family = family or fm_family(limit=limit)
-    counts = stream.groupBy("batch").agg(F.count("*").alias("n_rows"), F.countDistinct("id").alias("n_distinct"))
-    x = spread(stream.select("batch", big_int_mod(F.col("id").cast("string"), FIELD).alias("x")), "batch", "x").distinct()
-    hashed = x.select("batch", F.explode(hash_rows(F.col("x"), family, limit)).alias("r"))
-    zeros = hashed.groupBy("batch", "r.i").agg(F.max(trailing_zeros(F.col("r.h"))).alias("z"))
-    # As many rows for each batch as there are hashes.
-    rows = zeros.groupBy("batch").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "z"))), lambda r: r["z"]).alias("r"))
-    most = counts.join(rows, "batch")
+    importable(stream.sparkSession)
+    # An id is one row of its batch before it is dealt; keys in this order, or Spark takes the rows as dealt and puts few in a task each.
+    ids = spread(stream.filter("batch is not null").groupBy("batch", "id").agg(F.count("*").alias("n")), "id", "batch")
+    packed, width = _most_zeros(family, limit)
+    each, words = 63 // width, -(-len(family) // (63 // width))
+    parts = ids.select("batch", big_int_mod(F.col("id").cast("string"), FIELD).alias("x"), "n").mapInArrow(packed, f"batch {ids.schema['batch'].dataType.simpleString()}, n_rows long, n_distinct long, w array<long>")
+    ored = F.array(*[F.bit_or(F.get("w", F.lit(i))) for i in range(words)])
+    most = parts.groupBy("batch").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_distinct").alias("n_distinct"), ored.alias("w"))
+    lows = F.expr(f"transform(sequence(0, {len(family) - 1}), i -> shiftright(get(w, i div {each}), i % {each} * {width}) & {(1 << width) - 1}L)")
+    rows = most.select("batch", "n_rows", "n_distinct", F.transform(lows, lambda low: F.length(F.bin(low)) - 1).alias("r"))
     groups = len(family) // group
     powers = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.pow(F.lit(2.0), F.aggregate(F.slice("r", g * group + 1, group), F.lit(0), lambda a, v: a + v) / F.lit(group)))
-    return most.select("batch", "n_rows", "n_distinct", F.sort_array(powers)[groups // 2].cast("bigint").alias("estimate"))
+    return rows.select("batch", "n_rows", "n_distinct", F.sort_array(powers)[groups // 2].cast("bigint").alias("estimate"))
 
 
 def production_estimate(stream: DataFrame) -> DataFrame:

@@ -306,6 +306,36 @@ def test_distinct_estimates(spark):
     assert sorted(map(tuple, replay.per_batch(replay.source(rows, "batch"), sketch.distinct_estimate).collect())) == sorted(map(tuple, got))
 
 
+def loop_estimates(rows, family, limit, group):
+    out = {}
+    for b, x in rows:
+        n, ids = out.setdefault(b, [0, set()])
+        out[b] = [n + 1, ids | ({x} - {None})]
+    for b, (n, ids) in out.items():
+        hashes = [[(int.from_bytes(x.encode(), "big") % sketch.FIELD * a + c) % p % limit for x in ids] for a, c, p in family]
+        most = [max((1 if h == 0 else (h & -h).bit_length() - 1 for h in own), default=None) for own in hashes]
+        powers = sorted(2.0 ** (sum(most[g : g + group]) / group) for g in range(0, len(most), group)) if ids else []
+        out[b] = (n, len(ids), int(powers[len(powers) // 2]) if ids else None)
+    return out
+
+
+@pytest.mark.parametrize(("limit", "hashes", "group"), [(1000, 100, 10), (7, 21, 7), (2, 70, 1), (1 << 20, 9, 3)])
+def test_estimates_equal_a_loop(spark, limit, hashes, group):
+    """Repeats, null and empty ids, a batch of nulls alone, and hashes that are zero; no row is made for an id and a hash."""
+    rng = random.Random(limit)
+    family = sketch.fm_family(hashes, limit)
+    rows = [(f"b{rng.randrange(6)}", rng.choice([None, "", "\u00e9", *(f"id{i}" for i in range(40))])) for _ in range(200)] + [("none", None), ("none", None), ("one", "x")]
+    stream = spark.createDataFrame([*rows, (None, "y")], "batch string, id string")
+    found = sketch.distinct_estimate(stream, group, limit, family)
+    assert {r["batch"]: (r["n_rows"], r["n_distinct"], r["estimate"]) for r in found.collect()} == loop_estimates(rows, family, limit, group)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hashes_that_would_overflow(spark):
+    with pytest.raises(ValueError, match="63 bits"):
+        sketch.distinct_estimate(stream_of(spark, ["x"]), 1, 1000, [(1 << 40, 1, 10_007)])
+
+
 def steps_of(monkeypatch):
     """The numbers of the micro-batches that ran."""
     ran, run = [], replay._run
